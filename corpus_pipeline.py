@@ -1,13 +1,74 @@
-"""Corpus pipeline: toxicity, exact dedup, near dedup, decontamination, encoding."""
+"""Corpus pipeline: toxicity, exact dedup, near dedup, decontamination, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows it gets; run() writes each stage's rows to the shared
+folder and reads them back. Ids that repeat share their decision; a null id is never a reason to drop a row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm._common import materialise, table
+from tessera.llm.decontaminate import decontaminate
+from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.ngram_join import ngram_join
+from tessera.llm.queries import tokenizer_file
+from tessera.llm.sentencepiece_codec import encode_documents
+from tessera.llm.toxicity import score_documents, train
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of these (distinct) ids."""
+    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier predicts toxic go."""
+    weights = train(docs, table(spark, sf_dir, "labels"))
+    carried = ["doc_id", "text", "lang", "source", "n_chars"]
+    return score_documents(docs, weights, carry=carried).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the largest doc_id stays."""
+    return without(docs, exact_dedup(docs).where("NOT kept").select("doc_id").distinct())
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each linked group the smallest doc_id stays."""
+    return without(docs, ngram_join(docs).where("doc_id <> class_id").select("doc_id").distinct())
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of test items are cut out of the texts; a document of nothing else goes."""
+    out = decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), clean=True)
+    left = F.length(F.trim("clean_text")) > 0
+    out = out.where((F.col("n_hit") == 0) | left)
+    return out.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.when(F.col("n_hit") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with the digests that show the round trip."""
+    out = encode_documents(docs, tokenizer_file("piece_bpe_32k.model"))
+    return out.select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
+    ("decontaminate", cut_benchmark),
+    ("sentencepiece", encode),
+]
+#: No SQL states a classifier or the segmentation of a tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -43,13 +43,53 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.license_scan import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_exact_dedup, op7_license_scan)}
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no preferences: the rejected side ends with the last answer of the conversation before."""
+    from tessera.llm.chat_format import format_preferences, last_answers_swapped
+
+    chosen = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return format_preferences(chosen, last_answers_swapped(chosen), pair_col="conv_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_exact_dedup, op4_ngram_join, op5_html_extract, op6_decontaminate, op7_license_scan, op8_chat_format, op9_toxicity, op10_suffix_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -73,4 +113,18 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM spl
 WITH hashed AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents),
 grouped AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM hashed GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM hashed JOIN grouped USING (text_sha256)""",
+    "op8_chat_format": """
+WITH last AS (
+  SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+), swap AS (
+  SELECT l.conv_id, l.last_turn, coalesce(o.answer, '') AS other, l.answer FROM last l LEFT JOIN last o ON o.conv_id = l.conv_id - 1
+), both_sides AS (
+  SELECT c.conv_id, turn, role, text, 'chosen' AS side, coalesce(turn >= last_turn AND answer <> other, false) AS apart FROM conversations c LEFT JOIN swap USING (conv_id)
+  UNION ALL
+  SELECT c.conv_id, turn, role, CASE WHEN turn = last_turn THEN other ELSE text END, 'rejected', coalesce(turn >= last_turn AND answer <> other, false) FROM conversations c LEFT JOIN swap USING (conv_id)
+), rendered AS (
+  SELECT conv_id, CASE WHEN apart THEN side ELSE 'prompt' END AS part, turn, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment, apart AND role = 'assistant' AS trained
+  FROM both_sides WHERE apart OR side = 'chosen'
+)
+SELECT conv_id, part, turn, role, segment, CASE WHEN trained THEN length(role) + 5 ELSE 0 END AS train_from, CASE WHEN trained THEN length(segment) ELSE 0 END AS train_to FROM rendered""",
 }
