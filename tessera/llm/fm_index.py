@@ -64,8 +64,8 @@ class WaveletTree:
 
 class FMIndex:
     def __init__(self, text: np.ndarray):
-        """text: symbols from 0; a last symbol 0 is added as the end."""
-        text = np.append(text, 0).astype(np.int64)
+        """text: symbols from 0. They move up by one, so that the end, 0, is unique and stepping back never mixes it with a symbol."""
+        text = np.append(text.astype(np.int64) + 1, 0)
         order = suffix_array(text)
         top = int(text.max())
         self.bwt = text[order - 1]
@@ -84,7 +84,7 @@ class FMIndex:
             rows = live[go]
             if not len(rows):
                 break
-            c = patterns[rows, column].astype(np.int64)
+            c = patterns[rows, column].astype(np.int64) + 1
             known = c <= self.top
             safe = np.where(known, c, 0)
             a, b = self.tree.rank(safe, low[rows], high[rows])
