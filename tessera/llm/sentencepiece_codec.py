@@ -18,17 +18,21 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import rows_out
+from tessera.llm._common import sliced
 
 MARK = "▁"
 #: A run of spaces and what follows up to the next.
 CHUNK = re.compile(r" +[^ ]*")
 CACHE_BYTES = 64 << 20
+#: Text coded at a time; a longer one alone.
+BATCH_BYTES = 4 << 20
 #: Chunks longer than this are segmented anew each time.
 LONG_CHUNK = 512
 PROBES = ("", " ", "a", " a", "a  b ", "a\tb\n c", "　x", "ﬁ é é", "a▁b", "\x00", " a")
@@ -94,18 +98,24 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, code = _coder(model)
         begin, end = (struct.pack("<I", i) for i in (sp.bos_id(), sp.eos_id()))
-        for batch in batches:
-            out: dict = {"id": (batch.column(0).to_pylist(), pa.int64())} | {k: ([], t) for k, t in (("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())) if with_ids or k not in ("ids", "decoded")}
-            for text in batch.column(1):
+        for batch in sliced(batches, "text", BATCH_BYTES):
+            packed, plain, n_tokens, ids_sha, plain_sha = [], [], [], [], []
+            for text in batch.column("text"):
                 ids, decoded = code(text.as_py() or "")
                 ids = begin + ids + end
+                n_tokens.append(len(ids) // 4)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                plain_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    out["ids"][0].append(struct.unpack(f"<{len(ids) // 4}I", ids))
-                    out["decoded"][0].append(decoded)
-                out["n_tokens"][0].append(len(ids) // 4)
-                out["ids_sha256"][0].append(hashlib.sha256(ids).hexdigest())
-                out["decoded_sha256"][0].append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield rows_out(out)
+                    packed.append(ids)
+                    plain.append(decoded)
+            columns = {"id": batch.column("id")}
+            if with_ids:
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n_tokens)]), pa.int32())
+                columns["ids"] = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
+                columns["decoded"] = pa.array(plain, pa.string())
+            columns |= {"n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(plain_sha, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = "id long, " + "ids array<int>, decoded string, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
