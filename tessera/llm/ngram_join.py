@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import join_groups, materialise, rows_out, words
+from tessera.llm._common import join_groups, materialise, rows_out, sliced, words
 from tessera.llm.components import connected_components
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
@@ -37,6 +38,8 @@ BLOCK_GRAMS = 2_000_000
 CACHE_WORDS = 300_000
 #: n-grams per MinHash step, to bound the matrix.
 STEP = 4096
+#: Text that one step of a task turns into n-gram sets.
+BATCH_BYTES = 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -214,19 +217,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _with_grams(texts: DataFrame, n: int, placed: DataFrame) -> DataFrame:
-    """Adds the n-gram set to each row of placed."""
+    """Adds the n-gram set to each row of placed, from texts of its id; where ids and texts repeat, more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHash()
-        for batch in batches:
-            sets = [gram_set(t.as_py(), n, table).tobytes() for t in batch.column("text")]
-            digests = [xxhash.xxh3_128_hexdigest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(sets, pa.binary())], ["of", "grams"])
+        last, grams, digest = None, b"", None
+        for batch in sliced(batches, "text", BATCH_BYTES):
+            sets = []
+            for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist()):
+                if text != last or digest is None:
+                    grams = gram_set(text, n, table).tobytes()
+                    last, digest = text, xxhash.xxh3_128_hexdigest(grams)
+                sets.append(grams if digest == node else None)
+            kept = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], [*kept.schema.names, "grams"])
 
-    ids = placed.select("least").distinct()
-    chosen = texts.join(ids, texts["id"].eqNullSafe(ids["least"])).select("text")
-    sets = chosen.mapInArrow(run, "of string, grams binary").groupBy("of").agg(F.first("grams").alias("grams"))
-    return placed.join(sets, F.col("node") == F.col("of")).drop("of")
+    chosen = texts.join(placed, texts["id"].eqNullSafe(placed["least"])).select("cell", "node", "copies", "side", "text")
+    return chosen.mapInArrow(run, "cell string, node string, copies long, side int, grams binary").where("grams IS NOT NULL")
 
 
 def _judge(placed: DataFrame, similarity: float) -> DataFrame:
@@ -243,6 +250,8 @@ def _judge(placed: DataFrame, similarity: float) -> DataFrame:
                 if name != cell:
                     out += one(*held)
                     cell, held = name, ([], [], [], [])
+                if held[0] and held[0][-1] == row[0]:
+                    continue  # the same set from a repeated row
                 for x, v in zip(held, row):
                     x.append(v)
             if out:
