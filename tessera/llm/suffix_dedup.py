@@ -18,8 +18,8 @@ Exact copies of a whole text are decided first: all but the first copy are remov
 only the first copy is searched, because any string that starts in a copy also starts earlier.
 
 Edge cases: null and empty texts have no bytes; texts shorter than LENGTH lose nothing but count; null ids come
-before all others; of rows that share an id, the smaller text digest comes first and whole repeated rows follow
-in any order (their results are alike but for the first). An empty table gives no rows. Other columns are not read.
+before all others; of rows that share an id, the smaller hash of the text digest comes first; rows that repeat both
+id and text share one result. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -73,43 +73,41 @@ def _signed(x: int) -> int:
 
 
 def _runs(rows: DataFrame, length: int, kmer: int) -> DataFrame:
-    """(id, copy, start, n, anchor, high, low) for each run of each text."""
+    """(id, tie, start, n, anchor, rank) for each run of each text; ranks are told apart within an anchor only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced([whole], "text", CHUNK_BYTES):
-                out: dict = {k: ([], t) for k, t in (("id", pa.int64()), ("copy", pa.string()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("high", pa.int64()), ("low", pa.int64()))}
-                ids, copies, starts_, ns, anchors, highs, lows = (v[0] for v in out.values())
-                for i, copy, text in zip(*(batch.column(c).to_pylist() for c in ("id", "copy", "text"))):
+                out: dict = {k: ([], t) for k, t in (("id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("rank", pa.int64()))}
+                ids, ties, starts_, ns, anchors, ranks = (v[0] for v in out.values())
+                for i, tie, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "text"))):
                     data = (text or "").encode("utf-8", "replace")
                     starts, at = cover_runs(data, length, kmer)
                     if not len(starts):
                         continue
                     n = np.diff(np.append(starts, len(data) - length + 1)).tolist()
                     for s, a, k in zip(starts.tolist(), at.tolist(), n):
-                        rank = xxhash.xxh3_128_intdigest(data[s : s + k + length - 1], seed=a - s)
                         anchors.append(_signed(xxhash.xxh3_64_intdigest(data[a : a + kmer])))
-                        highs.append(_signed(rank >> 64))
-                        lows.append(_signed(rank & (2**64 - 1)))
+                        ranks.append(_signed(xxhash.xxh3_64_intdigest(data[s : s + k + length - 1], seed=a - s + 1)))
                     ids += [i] * len(n)
-                    copies += [copy] * len(n)
+                    ties += [tie] * len(n)
                     starts_ += starts.tolist()
                     ns += n
                 yield rows_out(out)
 
-    return rows.mapInArrow(run, "id long, copy string, start int, n int, anchor long, high long, low long")
+    return rows.mapInArrow(run, "id long, tie long, start int, n int, anchor long, rank long")
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """Runs (struct start, n, anchor, hot) of a text with their bytes: (bucket, sub, id, copy, start, bytes)."""
+    """Runs (struct start, n, anchor, hot) of a text with their bytes: (bucket, id, tie, start, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"bucket": pa.int64(), "id": pa.int64(), "copy": pa.string(), "start": pa.int32(), "bytes": pa.binary()}
+        kinds = {"bucket": pa.int64(), "id": pa.int64(), "tie": pa.int64(), "start": pa.int32(), "bytes": pa.binary()}
         for whole in batches:
             for batch in sliced([whole], "text", CHUNK_BYTES):
                 out: dict = {k: ([], t) for k, t in kinds.items()}
                 size = 0
-                for i, copy, text, runs in zip(*(batch.column(c).to_pylist() for c in ("id", "copy", "text", "runs"))):
+                for i, tie, text, runs in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "text", "runs"))):
                     data = (text or "").encode("utf-8", "replace")
                     for r in runs:
                         s, n = r["start"], r["n"]
@@ -118,7 +116,7 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
                         else:
                             cuts = [(r["anchor"], s, data[s : s + n + length - 1])]
                         for bucket, p, b in cuts:
-                            for k, v in zip(kinds, (bucket, i, copy, p, b)):
+                            for k, v in zip(kinds, (bucket, i, tie, p, b)):
                                 out[k][0].append(v)
                             size += len(b)
                         if size > 8 * CHUNK_BYTES:
@@ -126,14 +124,14 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
                             out, size = {k: ([], t) for k, t in kinds.items()}, 0
                 yield rows_out(out)
 
-    return rows.mapInArrow(run, "bucket long, id long, copy string, start int, bytes binary")
+    return rows.mapInArrow(run, "bucket long, id long, tie long, start int, bytes binary")
 
 
 def _bucket_hits(rows: DataFrame, length: int) -> DataFrame:
-    """(id, copy, start, n): starts of windows that a bucket has earlier; neighbours as one run."""
+    """(id, tie, start, n): starts of windows that a bucket has earlier; neighbours as one run."""
 
     def sort_bucket(held: list[tuple]) -> list[tuple]:
-        """held: (id is set, id, copy, start, bytes) in corpus order; the suffixes are sorted on length bytes, ties by place."""
+        """held: (id, tie, start, bytes) in corpus order; the suffixes are sorted on length bytes, ties by place."""
         if len(held) < 2:
             return []
         suffixes = sorted((b[k : k + length], place, k) for place, (*_, b) in enumerate(held) for k in range(len(b) - length + 1))
@@ -143,12 +141,12 @@ def _bucket_hits(rows: DataFrame, length: int) -> DataFrame:
                 hits.setdefault(place, []).append(k)
         out = []
         for place, starts in hits.items():
-            _, i, copy, s, _ = held[place]
+            i, tie, s, _ = held[place]
             starts.sort()
             first = last = starts[0]
             for k in [*starts[1:], -1]:
                 if k != last + 1:
-                    out.append((i, copy, s + first, last - first + 1))
+                    out.append((i, tie, s + first, last - first + 1))
                     first = k
                 last = k
         return out
@@ -157,15 +155,15 @@ def _bucket_hits(rows: DataFrame, length: int) -> DataFrame:
         bucket, held, out = None, [], []
 
         def batch_of(rows_: list[tuple]) -> pa.RecordBatch:
-            i, copy, s, n = zip(*rows_)
-            return rows_out({"id": (list(i), pa.int64()), "copy": (list(copy), pa.string()), "start": (list(s), pa.int32()), "n": (list(n), pa.int32())})
+            i, tie, s, n = zip(*rows_)
+            return rows_out({"id": (list(i), pa.int64()), "tie": (list(tie), pa.int64()), "start": (list(s), pa.int32()), "n": (list(n), pa.int32())})
 
         for batch in batches:
-            for name, i, copy, s, b in zip(*(batch.column(c).to_pylist() for c in ("bucket", "id", "copy", "start", "bytes"))):
+            for name, i, tie, s, b in zip(*(batch.column(c).to_pylist() for c in ("bucket", "id", "tie", "start", "bytes"))):
                 if name != bucket:
                     out += sort_bucket(held)
                     bucket, held = name, []
-                held.append((i is not None, i, copy, s, b))
+                held.append((i, tie, s, b))
             if out:
                 yield batch_of(out)
                 out = []
@@ -173,8 +171,8 @@ def _bucket_hits(rows: DataFrame, length: int) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "copy", "start")
-    return dealt.mapInArrow(run, "id long, copy string, start int, n int")
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "tie", "start")
+    return dealt.mapInArrow(run, "id long, tie long, start int, n int")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, kmer: int = KMER, keep_text: bool = False) -> DataFrame:
@@ -190,27 +188,28 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = firsts.where("copies > 1").select(F.col("copy").alias("c"), "first_id")
     again = base.join(repeated, (F.col("copy") == F.col("c")) & F.col("id").eqNullSafe(F.col("first_id")))
     again = again.groupBy("id", "copy").agg(F.first("text").alias("text"))
-    unique = materialise(single.select("id", "copy", "text").unionByName(again))
+    tie = F.xxhash64("copy").alias("tie")
+    unique = materialise(single.select("id", tie, "text").unionByName(again.select("id", tie, "text")))
 
     runs = materialise(_runs(unique, length, kmer))
-    place = F.struct(F.col("id").isNotNull().alias("set"), "id", "copy", "start")
-    ranks = materialise(runs.groupBy("anchor", "high", "low").agg(F.min(place).alias("first"), F.count("*").alias("runs"), F.first("n").alias("n")))
+    place = F.struct(F.col("id").isNotNull().alias("set"), "id", "tie", "start")
+    ranks = materialise(runs.groupBy("anchor", "rank").agg(F.min(place).alias("first"), F.count("*").alias("runs"), F.first("n").alias("n")))
     # runs of equal rank: all but the first
-    tied = ranks.where("runs > 1").select(F.concat_ws("/", "high", "low").alias("rank"), "first", "runs")
-    own = runs.select("id", "copy", "start", "n", F.concat_ws("/", "high", "low").alias("rank"))
-    ties = join_groups(own, materialise(tied), "rank", "runs", F.concat_ws("/", "copy", "start"))
-    ties = ties.where("first IS NOT NULL AND NOT (copy = first.copy AND start = first.start AND id <=> first.id)").select("id", "copy", "start", "n")
+    tied = ranks.where("runs > 1").select(F.concat_ws("/", "anchor", "rank").alias("key"), "first", F.col("runs").alias("size"))
+    own = runs.select("id", "tie", "start", "n", F.concat_ws("/", "anchor", "rank").alias("key"))
+    ties = join_groups(own, tied, "key", "size", F.concat_ws("/", "tie", "start"))
+    ties = ties.where("first IS NOT NULL AND NOT (tie = first.tie AND start = first.start AND id <=> first.id)").select("id", "tie", "start", "n")
     # unlike ranks at equal sample bytes: sort their suffixes, one bucket at a time
     buckets = materialise(ranks.groupBy("anchor").agg(F.count("*").alias("ranks")).where("ranks > 1"))
-    unlike = join_groups(ranks.select("anchor", "first", "n"), buckets, "anchor", "ranks", F.col("first.copy")).where("ranks IS NOT NULL")
-    wanted = unlike.select("first.id", "first.copy", F.struct(F.col("first.start").alias("start"), "n", "anchor", (F.col("ranks") > BUCKET_RUNS).alias("hot")).alias("run"))
-    wanted = wanted.groupBy("id", "copy").agg(F.collect_list("run").alias("runs"))  # the runs of one text, at most one for each of its bytes
-    wanted = wanted.select(F.col("id").alias("i"), F.col("copy").alias("c"), "runs")
-    cut = unique.join(wanted, (F.col("copy") == F.col("c")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "copy", "text", "runs")
+    unlike = join_groups(ranks.select("anchor", "first", "n"), buckets, "anchor", "ranks", F.col("first.tie").cast("string")).where("ranks IS NOT NULL")
+    wanted = unlike.select("first.id", "first.tie", F.struct(F.col("first.start").alias("start"), "n", "anchor", (F.col("ranks") > BUCKET_RUNS).alias("hot")).alias("run"))
+    wanted = wanted.groupBy("id", "tie").agg(F.collect_list("run").alias("runs"))  # the runs of one text, at most one for each of its bytes
+    wanted = wanted.select(F.col("id").alias("i"), F.col("tie").alias("t"), "runs")
+    cut = unique.join(wanted, (F.col("tie") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "tie", "text", "runs")
     sorted_hits = _bucket_hits(_windows(cut, length), length)
 
-    hits = ties.unionByName(sorted_hits).groupBy("copy").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
-    return _remove(base, firsts, materialise(hits), id_col, length, keep_text)
+    hits = ties.unionByName(sorted_hits).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
+    return _remove(base.withColumn("tie", tie), firsts, materialise(hits), id_col, length, keep_text)
 
 
 def _remove(base: DataFrame, firsts: DataFrame, hits: DataFrame, id_col: str, length: int, keep_text: bool) -> DataFrame:
@@ -241,6 +240,6 @@ def _remove(base: DataFrame, firsts: DataFrame, hits: DataFrame, id_col: str, le
     rank = firsts.where("copies > 1").select("copy", "first_id", "copies")
     known = join_groups(base, materialise(rank), "copy", "copies", F.col("id").cast("string"))
     known = known.withColumn("later", F.col("copies").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")))
-    joined = known.join(hits.withColumnRenamed("copy", "c"), (F.col("copy") == F.col("c")) & ~F.col("later"), "left").select("id", "text", "later", "hits")
+    joined = known.join(hits.select(F.col("id").alias("i"), F.col("tie").alias("t"), "hits"), (F.col("tie") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")) & ~F.col("later"), "left").select("id", "text", "later", "hits")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
