@@ -7,25 +7,25 @@ The method is a blockwise suffix sort with a difference cover, in a form that ne
   same place, so two equal windows always meet on a sample position, as two suffixes do on a difference cover.
   The cover follows from the content and is at most LENGTH - KMER + 1 apart.
 * Ranks of the sample. Windows that share a sample position form a run of starts; the digest of the bytes of a run is
-  its rank. Runs of equal rank are long ties: they are resolved by the first place of the rank alone, which
-  pre-aggregates before the shuffle, so a passage that a third of all texts hold is one row.
+  its rank. Runs of equal rank are long ties: all but the first place are hits. Each task settles the ties of
+  FLUSH_BYTES of text itself and passes on one run of a rank, so a passage that a third of all texts hold is
+  few rows in the shuffle. What is passed on is dealt by sample bytes and read as a sorted stream.
 * The buckets. Runs of unlike rank at equal sample bytes may share some windows. The suffixes that start in the
   first run of each such rank are sorted one bucket at a time, on LENGTH bytes; of each group of equal ones
-  all but the first are hits. A bucket of more than BUCKET_RUNS runs is split by window digest, so memory is
-  bounded by a bucket.
+  all but the first are hits. Sample bytes with over HOT_RANKS ranks in one flush are dealt by rank, and a bucket of
+  more than BUCKET_RUNS runs is split by window digest, of which a flush again passes on one place. Memory is bounded
+  by a flush and a bucket.
 
-Exact copies of a whole text are decided first: all but the first copy are removed (if of LENGTH bytes), and
-only the first copy is searched, because any string that starts in a copy also starts earlier.
+Whole copies of a text need no step of their own: all their runs tie.
 
 Edge cases: null and empty texts have no bytes; texts shorter than LENGTH lose nothing but count; null ids come
-before all others; of rows that share an id, the smaller hash of the text digest comes first; rows that repeat both
+before all others; of rows that share an id, the smaller hash of the text comes first; rows that repeat both
 id and text share one result. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,20 +35,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import join_groups, materialise, rows_out, sliced
+from tessera.llm._common import materialise, rows_out, sliced
 
 LENGTH = 100
 KMER = 32
 BUCKET_RUNS = 2000
+#: Ranks of the same sample bytes in a flush from which they are dealt by rank.
+HOT_RANKS = 64
+#: Text whose ties one step of a task settles before the shuffle.
+FLUSH_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
+#: Kinds of rows that a flush passes on.
+RUN, HIT, HOT_RUN, HOT_NOTE = 0, 1, 2, 3
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cover_runs(data: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each run, its sample position); a run ends where the next starts, the last at len(data) - length + 1."""
+def cover_runs(data: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each run, its sample position, the hash there); a run ends where the next starts, the last at len(data) - length + 1."""
     n = len(data)
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
     width, power = 1, BASE
     while width < kmer:  # kmer is a power of two
@@ -65,66 +71,166 @@ def cover_runs(data: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-    return starts, at[starts]
+    return starts, at[starts], h[at[starts]]
 
 
 def _signed(x: int) -> int:
     return x - 2**63
 
 
-def _runs(rows: DataFrame, length: int, kmer: int) -> DataFrame:
-    """(id, tie, start, n, anchor, rank) for each run of each text; ranks are told apart within an anchor only."""
-
+def _place(i: int | None, tie: int, start: int) -> tuple:
+    """Sorts as the corpus does."""
+    return i is not None, i or 0, tie, start
+
+
+RUN_SCHEMA = "kind byte, route long, rank long, id long, tie long, start int, n int"
+def corpus_order() -> tuple:
+    return F.col("id").asc_nulls_first(), F.col("tie"), F.col("start")
+
+
+def _flush(held: dict[tuple, tuple], length: int, kmer: int, hot_ranks: int) -> pa.RecordBatch:
+    """Rows (RUN_SCHEMA) of the texts held, place -> (id, tie, text): ties among them as hits, one run of each rank."""
+    docs = [held[k] for k in sorted(held)]
+    doc, start, n, anchor, rank = [], [], [], [], []
+    for k, (_, _, data) in enumerate(docs):
+        starts, at, hashes = cover_runs(data, length, kmer)
+        if not len(starts):
+            continue
+        own = np.diff(np.append(starts, len(data) - length + 1))
+        doc.append(np.full(len(starts), k))
+        start.append(starts)
+        n.append(own)
+        anchor.append(hashes)
+        rank.append(np.array([xxhash.xxh3_64_intdigest(data[s : s + m + length - 1], seed=a - s + 1) for s, a, m in zip(starts.tolist(), at.tolist(), own.tolist())], np.uint64))
+    doc, start, n = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (doc, start, n))
+    anchor, rank = (np.concatenate(x or [np.zeros(0, np.uint64)]) for x in (anchor, rank))
+    mixed = (anchor ^ (rank * BASE)) * BASE
+    order = np.lexsort((anchor, mixed))  # stable: the first of equal ones has the first place
+    again = np.concatenate([[False], (mixed[order][1:] == mixed[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])])[: len(order)]
+    first, hit = np.sort(order[~again]), np.sort(order[again])
+    # hits that touch become one
+    touch = (np.diff(hit) == 1) & (doc[hit][1:] == doc[hit][:-1])
+    head = np.flatnonzero(np.concatenate([[True], ~touch])[: len(hit)])
+    hit_n = np.add.reduceat(n[hit], head) if len(head) else n[:0]
+    hit = hit[head]
+    _, which, count = np.unique(anchor[first], return_inverse=True, return_counts=True)
+    hot = count[which] > hot_ranks
+    noted = np.unique(anchor[first[hot]])
+    rows = np.concatenate([first, hit])
+    kind = np.concatenate([np.where(hot, HOT_RUN, RUN), np.full(len(hit), HIT), np.full(len(noted), HOT_NOTE)]).astype(np.int8)
+    route = np.concatenate([np.where(hot, mixed[first], anchor[first]), mixed[hit] ^ start[hit].astype(np.uint64), noted])
+    ids, ties = (np.array([d[k] for d in docs] + [None], object)[np.concatenate([doc[rows], np.full(len(noted), -1)])] for k in (0, 1))
+    zero = np.zeros(len(noted), np.int64)
+    columns = {"kind": pa.array(kind), "route": pa.array(route.view(np.int64)), "rank": pa.array(np.concatenate([rank[first], np.zeros(len(hit) + len(noted), np.uint64)]).view(np.int64)), "id": pa.array(ids, pa.int64()), "tie": pa.array(ties, pa.int64())}
+    columns |= {"start": pa.array(np.concatenate([start[rows], zero]), pa.int32()), "n": pa.array(np.concatenate([n[first], hit_n, zero]), pa.int32())}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _runs(rows: DataFrame, length: int, kmer: int, hot_ranks: int, flush_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in sliced([whole], "text", CHUNK_BYTES):
-                out: dict = {k: ([], t) for k, t in (("id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("rank", pa.int64()))}
-                ids, ties, starts_, ns, anchors, ranks = (v[0] for v in out.values())
-                for i, tie, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "text"))):
-                    data = (text or "").encode("utf-8", "replace")
-                    starts, at = cover_runs(data, length, kmer)
-                    if not len(starts):
-                        continue
-                    n = np.diff(np.append(starts, len(data) - length + 1)).tolist()
-                    for s, a, k in zip(starts.tolist(), at.tolist(), n):
-                        anchors.append(_signed(xxhash.xxh3_64_intdigest(data[a : a + kmer])))
-                        ranks.append(_signed(xxhash.xxh3_64_intdigest(data[s : s + k + length - 1], seed=a - s + 1)))
-                    ids += [i] * len(n)
-                    ties += [tie] * len(n)
-                    starts_ += starts.tolist()
-                    ns += n
-                yield rows_out(out)
+        held: dict[tuple, tuple] = {}
+        size = 0
+        for batch in sliced(batches, "text", CHUNK_BYTES):
+            for i, tie, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "text"))):
+                if len(data := text.encode("utf-8", "replace")) >= length:
+                    held[_place(i, tie, 0)] = i, tie, data
+                    size += len(data)
+            if size >= flush_bytes:
+                yield _flush(held, length, kmer, hot_ranks)
+                held, size = {}, 0
+        if held:
+            yield _flush(held, length, kmer, hot_ranks)
+
+    return rows.mapInArrow(run, RUN_SCHEMA)
 
-    return rows.mapInArrow(run, "id long, tie long, start int, n int, anchor long, rank long")
 
+def _settle(runs: DataFrame) -> DataFrame:
+    """(id, tie, start, n, anchor, hot): hits (null anchor), and the first runs of unlike ranks at equal sample bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, told, last_note = None, False, None  # the first run of the rank read last, whether it was passed on
+
+        def rows_of(table: pa.RecordBatch, at: np.ndarray, wanted: bool, hot: np.ndarray | None = None) -> pa.RecordBatch:
+            got = table.select(["id", "tie", "start", "n"]).take(pa.array(at))
+            anchor = table.column("route").take(pa.array(at)) if wanted else pa.nulls(len(at), pa.int64())
+            return pa.RecordBatch.from_arrays([*got.columns, anchor, pa.array(hot) if wanted else pa.array(np.zeros(len(at), bool))], ["id", "tie", "start", "n", "anchor", "hot"])
 
-def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """Runs (struct start, n, anchor, hot) of a text with their bytes: (bucket, id, tie, start, bytes)."""
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            direct = np.flatnonzero(kinds == HIT)
+            if len(direct):
+                yield rows_of(batch, direct, False)
+            route = batch.column("route").to_numpy()
+            notes = route[kinds == HOT_NOTE]
+            noted = np.append(notes, last_note) if last_note is not None else notes
+            last_note = notes[-1] if len(notes) else last_note
+            own = batch.take(pa.array(np.flatnonzero((kinds == RUN) | (kinds == HOT_RUN))))
+            if held is not None:
+                own = pa.Table.from_batches([held, own]).combine_chunks().to_batches()[0]
+            if not own.num_rows:
+                continue
+            kind, route, rank, tie, start = (own.column(c).to_numpy() for c in ("kind", "route", "rank", "tie", "start"))
+            null = pa.compute.is_null(own.column("id")).to_numpy(zero_copy_only=False)
+            ids = pa.compute.fill_null(own.column("id"), 0).to_numpy()
+            first = np.concatenate([[True], (route[1:] != route[:-1]) | (rank[1:] != rank[:-1]) | (kind[1:] != kind[:-1])])
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+            same = (ids == ids[lead]) & (null == null[lead]) & (tie == tie[lead]) & (start == start[lead])
+            hits = np.flatnonzero(~same)
+            if len(hits):
+                yield rows_of(own, hits, False)
+            heads = np.flatnonzero(first)
+            hot = (kind[heads] == HOT_RUN) | np.isin(route[heads], noted)
+            pair = (route[heads][1:] == route[heads][:-1]) & (kind[heads][1:] == kind[heads][:-1])
+            wanted = hot | np.append(pair, False) | np.append(False, pair)
+            if held is not None and told:
+                wanted[0] = False
+            if wanted.any():
+                yield rows_of(own, heads[wanted], True, hot[wanted])
+            told = bool(wanted[-1]) or (len(heads) == 1 and told and held is not None)
+            held = own.slice(int(heads[-1]), 1)
+
+    # notes come before the runs of their route
+    dealt = runs.repartition("route").sortWithinPartitions("route", F.col("kind").desc(), "rank", *corpus_order())
+    return dealt.mapInArrow(run, "id long, tie long, start int, n int, anchor long, hot boolean")
+
+
+WINDOW_KINDS = {"kind": pa.int8(), "bucket": pa.int64(), "id": pa.int64(), "tie": pa.int64(), "start": pa.int32(), "bytes": pa.binary()}
+
+
+def _windows(rows: DataFrame, length: int, flush_bytes: int) -> DataFrame:
+    """Runs of a text with their bytes, dealt by anchor; of hot ones each window, dealt by digest, one place a flush."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"bucket": pa.int64(), "id": pa.int64(), "tie": pa.int64(), "start": pa.int32(), "bytes": pa.binary()}
-        for whole in batches:
-            for batch in sliced([whole], "text", CHUNK_BYTES):
-                out: dict = {k: ([], t) for k, t in kinds.items()}
-                size = 0
-                for i, tie, text, runs in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "text", "runs"))):
-                    data = (text or "").encode("utf-8", "replace")
-                    for r in runs:
-                        s, n = r["start"], r["n"]
-                        if r["hot"]:
-                            cuts = [(_signed(xxhash.xxh3_64_intdigest(data[p : p + length])), p, data[p : p + length]) for p in range(s, s + n)]
-                        else:
-                            cuts = [(r["anchor"], s, data[s : s + n + length - 1])]
-                        for bucket, p, b in cuts:
-                            for k, v in zip(kinds, (bucket, i, tie, p, b)):
-                                out[k][0].append(v)
-                            size += len(b)
-                        if size > 8 * CHUNK_BYTES:
-                            yield rows_out(out)
-                            out, size = {k: ([], t) for k, t in kinds.items()}, 0
-                yield rows_out(out)
-
-    return rows.mapInArrow(run, "bucket long, id long, tie long, start int, bytes binary")
+        out: list[tuple] = []
+        hot: dict[bytes, tuple] = {}
+        size = 0
+
+        def flushed() -> pa.RecordBatch:
+            rows_ = out + [(HOT_RUN, _signed(xxhash.xxh3_64_intdigest(w)), *at, w) for w, at in hot.items()]
+            return rows_out({k: (list(v), t) for (k, t), v in zip(WINDOW_KINDS.items(), zip(*rows_) if rows_ else [()] * len(WINDOW_KINDS))})
+
+        for batch in sliced(batches, "text", CHUNK_BYTES):
+            for i, tie, text, runs in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "text", "runs"))):
+                data = text.encode("utf-8", "replace")
+                for r in runs:
+                    s, n = r["start"], r["n"]
+                    if not r["hot"]:
+                        out.append((RUN, r["anchor"], i, tie, s, data[s : s + n + length - 1]))
+                        size += n + length
+                        continue
+                    for p in range(s, s + n):
+                        known = hot.setdefault(w := data[p : p + length], (i, tie, p))
+                        if known != (i, tie, p):
+                            early, late = sorted((known, (i, tie, p)), key=lambda x: _place(*x))
+                            hot[w] = early
+                            out.append((HIT, late[1], *late, None))
+                    size += n * length
+                if size >= flush_bytes:
+                    yield flushed()
+                    out, hot, size = [], {}, 0
+        yield flushed()
+
+    return rows.mapInArrow(run, "kind byte, bucket long, id long, tie long, start int, bytes binary")
 
 
 def _bucket_hits(rows: DataFrame, length: int) -> DataFrame:
@@ -153,17 +259,25 @@ def _bucket_hits(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, out = None, [], []
+        seen: dict[bytes, tuple] = {}  # first place of each window of a digest
 
         def batch_of(rows_: list[tuple]) -> pa.RecordBatch:
             i, tie, s, n = zip(*rows_)
             return rows_out({"id": (list(i), pa.int64()), "tie": (list(tie), pa.int64()), "start": (list(s), pa.int32()), "n": (list(n), pa.int32())})
 
         for batch in batches:
-            for name, i, tie, s, b in zip(*(batch.column(c).to_pylist() for c in ("bucket", "id", "tie", "start", "bytes"))):
-                if name != bucket:
+            for kind, name, i, tie, s, b in zip(*(batch.column(c).to_pylist() for c in WINDOW_KINDS)):
+                if kind == HIT:
+                    out.append((i, tie, s, 1))
+                    continue
+                if (kind, name) != bucket:
                     out += sort_bucket(held)
-                    bucket, held = name, []
-                held.append((i, tie, s, b))
+                    bucket, held, seen = (kind, name), [], {}
+                if kind == HOT_RUN:
+                    if seen.setdefault(b, (i, tie, s)) != (i, tie, s):
+                        out.append((i, tie, s, 1))
+                elif not held or held[-1][:3] != (i, tie, s):  # else the same run from a repeated row
+                    held.append((i, tie, s, b))
             if out:
                 yield batch_of(out)
                 out = []
@@ -171,62 +285,40 @@ def _bucket_hits(rows: DataFrame, length: int) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "tie", "start")
+    dealt = rows.repartition("bucket").sortWithinPartitions("kind", "bucket", *corpus_order())
     return dealt.mapInArrow(run, "id long, tie long, start int, n int")
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, kmer: int = KMER, keep_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, kmer: int = KMER, keep_text: bool = False, bucket_runs: int = BUCKET_RUNS, hot_ranks: int = HOT_RANKS, flush_bytes: int = FLUSH_BYTES) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept (binary)."""
     if kmer & (kmer - 1) or not 1 <= kmer <= length:
         raise ValueError("kmer must be a power of two, at most length")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("copy", F.sha2("text", 256))
-    # copies: the first row of a text is searched for
-    firsts = base.select("id", "copy").groupBy("copy").agg(F.min(F.struct(F.col("id").isNotNull().alias("set"), "id")).alias("first"), F.count("*").alias("copies"))
-    firsts = materialise(firsts.select("copy", F.col("first.id").alias("first_id"), "copies"))
-    single = base.join(firsts.where("copies > 1").select(F.col("copy").alias("c"), "first_id"), F.col("copy") == F.col("c"), "left_anti")
-    repeated = firsts.where("copies > 1").select(F.col("copy").alias("c"), "first_id")
-    again = base.join(repeated, (F.col("copy") == F.col("c")) & F.col("id").eqNullSafe(F.col("first_id")))
-    again = again.groupBy("id", "copy").agg(F.first("text").alias("text"))
-    tie = F.xxhash64("copy").alias("tie")
-    unique = materialise(single.select("id", tie, "text").unionByName(again.select("id", tie, "text")))
-
-    runs = materialise(_runs(unique, length, kmer))
-    place = F.struct(F.col("id").isNotNull().alias("set"), "id", "tie", "start")
-    ranks = materialise(runs.groupBy("anchor", "rank").agg(F.min(place).alias("first"), F.count("*").alias("runs"), F.first("n").alias("n")))
-    # runs of equal rank: all but the first
-    tied = ranks.where("runs > 1").select(F.concat_ws("/", "anchor", "rank").alias("key"), "first", F.col("runs").alias("size"))
-    own = runs.select("id", "tie", "start", "n", F.concat_ws("/", "anchor", "rank").alias("key"))
-    ties = join_groups(own, tied, "key", "size", F.concat_ws("/", "tie", "start"))
-    ties = ties.where("first IS NOT NULL AND NOT (tie = first.tie AND start = first.start AND id <=> first.id)").select("id", "tie", "start", "n")
-    # unlike ranks at equal sample bytes: sort their suffixes, one bucket at a time
-    buckets = materialise(ranks.groupBy("anchor").agg(F.count("*").alias("ranks")).where("ranks > 1"))
-    unlike = join_groups(ranks.select("anchor", "first", "n"), buckets, "anchor", "ranks", F.col("first.tie").cast("string")).where("ranks IS NOT NULL")
-    wanted = unlike.select("first.id", "first.tie", F.struct(F.col("first.start").alias("start"), "n", "anchor", (F.col("ranks") > BUCKET_RUNS).alias("hot")).alias("run"))
-    wanted = wanted.groupBy("id", "tie").agg(F.collect_list("run").alias("runs"))  # the runs of one text, at most one for each of its bytes
-    wanted = wanted.select(F.col("id").alias("i"), F.col("tie").alias("t"), "runs")
-    cut = unique.join(wanted, (F.col("tie") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "tie", "text", "runs")
-    sorted_hits = _bucket_hits(_windows(cut, length), length)
-
-    hits = ties.unionByName(sorted_hits).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
-    return _remove(base.withColumn("tie", tie), firsts, materialise(hits), id_col, length, keep_text)
-
-
-def _remove(base: DataFrame, firsts: DataFrame, hits: DataFrame, id_col: str, length: int, keep_text: bool) -> DataFrame:
+    base = base.select("id", F.xxhash64("text").alias("tie"), "text")
+    settled = materialise(_settle(_runs(base, length, kmer, hot_ranks, flush_bytes)))
+    unlike = settled.where("anchor IS NOT NULL")
+    large = unlike.groupBy("anchor").agg(F.count("*").alias("n_runs")).where(F.col("n_runs") > bucket_runs).select(F.col("anchor").alias("large"))
+    unlike = unlike.join(large, F.col("anchor") == F.col("large"), "left").withColumn("hot", F.col("hot") | F.col("large").isNotNull())
+    wanted = unlike.groupBy(F.col("id").alias("i"), F.col("tie").alias("t")).agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("runs"))  # of one text, at most one for each of its bytes
+    cut = base.join(wanted, (F.col("tie") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "tie", "text", "runs")
+    sorted_hits = materialise(_bucket_hits(_windows(cut, length, flush_bytes), length))
+    hits = settled.where("anchor IS NULL").select("id", "tie", "start", "n").unionByName(sorted_hits)
+    hits = hits.groupBy(F.col("id").alias("i"), F.col("tie").alias("t")).agg(F.collect_list(F.struct("start", "n")).alias("hits"))
+    return _remove(base.join(hits, (F.col("tie") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")), "left"), id_col, length, keep_text)
+
+
+def _remove(rows: DataFrame, id_col: str, length: int, keep_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict = {k: ([], t) for k, t in (("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))} | ({"kept": ([], pa.binary())} if keep_text else {})
-            for i, text, later, found in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "later", "hits"))):
+            for i, text, found in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "hits"))):
                 data = text.encode("utf-8", "replace")
                 spans: list[list[int]] = []
-                if later and len(data) >= length:
-                    spans = [[0, len(data)]]
-                else:
-                    for s, n in sorted((h["start"], h["n"]) for h in found or ()):
-                        if spans and s <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], s + n + length - 1)
-                        else:
-                            spans.append([s, s + n + length - 1])
+                for s, n in sorted((h["start"], h["n"]) for h in found or ()):
+                    if spans and s <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], s + n + length - 1)
+                    else:
+                        spans.append([s, s + n + length - 1])
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(data[at:a])
@@ -236,10 +328,5 @@ def _remove(base: DataFrame, firsts: DataFrame, hits: DataFrame, id_col: str, le
                     out[k][0].append(v)
             yield rows_out(out)
 
-    # later copies need no hits; a text's first row takes them
-    rank = firsts.where("copies > 1").select("copy", "first_id", "copies")
-    known = join_groups(base, materialise(rank), "copy", "copies", F.col("id").cast("string"))
-    known = known.withColumn("later", F.col("copies").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")))
-    joined = known.join(hits.select(F.col("id").alias("i"), F.col("tie").alias("t"), "hits"), (F.col("tie") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")) & ~F.col("later"), "left").select("id", "text", "later", "hits")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.select("id", "text", "hits").mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -114,11 +114,10 @@ def brute_suffix(texts):
     return out
 
 
-@pytest.mark.parametrize("limit", [2000, 1])
-def test_suffix_dedup(spark, monkeypatch, limit):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_RUNS", limit)
+@pytest.mark.parametrize("bucket_runs, hot_ranks, flush_bytes", [(2000, 64, 8 << 20), (1, 64, 1000), (2000, 0, 3000), (2000, 1, 5000), (2000, 64, 1)])
+def test_suffix_dedup(spark, bucket_runs, hot_ranks, flush_bytes):
     texts = corpus(3, 80) + ["a" * 99, "a" * 100, "b" * 250, "ab" * 130, "b" * 100, "ab" * 60, "é" * 90]
-    got = suffix_dedup.suffix_dedup(frame(spark, texts)).collect()
+    got = suffix_dedup.suffix_dedup(frame(spark, texts), bucket_runs=bucket_runs, hot_ranks=hot_ranks, flush_bytes=flush_bytes).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_suffix(texts)
 
 
