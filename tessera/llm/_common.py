@@ -17,6 +17,7 @@ LOWER = UPPER.lower()
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Largest number of keys that one hot-key broadcast holds.
 HOT_KEYS = 1000
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder, read back. The files go when the application ends."""
     spark = df.sparkSession
     out = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(out)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the shuffle files go with the write, not when the driver collects garbage
+    try:
+        df.write.parquet(out)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(out)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
