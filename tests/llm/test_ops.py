@@ -235,3 +235,43 @@ def test_alias_decisions(spark):
     more = links.union(spark.createDataFrame([("http://d.org/x", "http://x.example.com/en/7")], links.schema))
     got = {r.page_id: r.verdict for r in url_filters.judge_urls(urls, more, queries.URL_RULES).collect()}
     assert got == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
+
+
+def test_page_links_decoded_and_resolved(spark):
+    forms = {
+        "<link rel=canonical href='/en/7'>": "http://h.org/en/7",
+        '<link rel="canonical" href="x.html">': "http://h.org/a/x.html",
+        '<link href="../../b/./y?q=1#f" rel="nofollow Canonical" />': "http://h.org/b/y?q=1#f",
+        '<LINK REL=canonical HREF="//other.net/p">': "https://other.net/p",
+        '<link rel="canonical" href="http://a/x?p=1&amp;q=2">': "http://a/x?p=1&q=2",
+        '<link rel="canonical" href="http://a/&#x41;&#66;&eacute;&copy=1&nosuch;&AMP&#128;">': "http://a/ABé&copy=1&nosuch;&€",
+        '<link rel="canonical" href="?page=2">': "http://h.org/a/b.html?page=2",
+        '<link data-href="http://no/" title="a > b" rel="canonical" href="/login?next=http://b.com/">': "http://h.org/login?next=http://b.com/",
+        '<base href="/deep/er/"><link rel="canonical" href="z">': "http://h.org/deep/er/z",
+        '<meta http-equiv="refresh" content="0; url=/m?a=1&amp;b=2">': "http://h.org/m?a=1&b=2",
+        "<meta content=\"5;URL='next.html'\" http-equiv='Refresh'>": "http://h.org/a/next.html",
+        "<meta http-equiv=refresh content=0;url=//r.net/>": "https://r.net/",
+        '<meta http-equiv="refresh" content="30">': None,
+        '<link rel="canonical" href="mailto:a@b">': None,
+        '<link rel="canonical" href="">': None,
+        '<!-- <link rel="canonical" href="/c"> --><script>"<link rel=canonical href=/s>"</script>': None,
+        '<link rel="alternate" href="/alt" title="canonical">': None,
+    }
+    for k, (tag, want) in enumerate(forms.items()):
+        scheme = "https" if want and want.startswith("https") else "http"
+        forms[tag] = (f"{scheme}://h.org/a/b.html?k={k}", want)
+    pages = spark.createDataFrame([(k, url, f"<html><head>{tag}</head><p>t") for k, (tag, (url, _)) in enumerate(forms.items())], "page_id long, url string, html string")
+    got = {r.source_url: r.target_url for r in url_filters.page_links(pages).collect()}
+    assert got == {url: want for url, want in forms.values() if want}
+
+
+def test_page_links_carry_decisions(spark):
+    pages = [
+        (0, "http://a.com/en/1?p=1&q=2", ""),
+        (1, "http://b.org/x", '<link rel="canonical" href="//a.com/en/1?p=1&amp;q=2">'),
+        (2, "http://b.org/y", '<meta http-equiv="refresh" content="0; url=x">'),
+        (3, "http://b.org/z", "<p>no link"),
+    ]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(pages.select("page_id", "url"), url_filters.page_links(pages), queries.URL_RULES).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow"}
