@@ -7,7 +7,10 @@ path with most votes. Pass two re-extracts every page: the elements on the winni
 without such an element gives its own best container, one without any container its whole body.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out,
-by tag or by class, id and role words. Character references are decoded, white space inside a block becomes one
+by tag or by class, id and role words: a class, id or role says so if it consists of such words and layout words
+(site-header, comments-area); a class or role also if it starts with one (nav-7up), unless a word of state follows
+(header-fixed). Ids of headings say nothing, and an element that holds <main>, the page's only articles or nearly
+all of its text is a wrapper, whatever its words. Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one space.
 
 Winners that differ from the overall one travel with the tasks while they are at most BROADCAST_HOSTS; beyond
@@ -38,6 +41,13 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("nav header footer aside form script style noscript iframe template button select textarea input svg object canvas head title dialog menu option".split())
 SKIPPED_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner promo sponsored sponsor cookie cookies consent notice notices popup modal newsletter subscribe comment comments commentlist respond disqus breadcrumb breadcrumbs share sharing social related pagination toolbar widget complementary contentinfo search".split())
+#: Of these, what never wraps a page for its bulk alone.
+PASSING_WORDS = frozenset("ad ads advert adverts advertisement advertising promo sponsored sponsor cookie cookies consent notice notices popup modal newsletter subscribe comment comments commentlist respond disqus".split())
+#: Words that say where or how large a part is.
+LAYOUT_WORDS = frozenset("site page main top bottom left right center primary secondary upper lower inner outer global local mobile desktop sticky wp block blocks item items list area section box bar wrapper wrap container content body row col column group panel slot unit inline link links button buttons form title post posts entry article articles blog story user reader author footer header".split())
+STATE_WORDS = frozenset("no not non without with has have is show hide hidden visible open closed free less fixed on off enabled disabled accepted active layout".split())
+NEVER_SKIPPED = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Blocks that stand for a paragraph; others are containers.
 PARAGRAPHS = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption summary address center".split())
@@ -49,44 +59,103 @@ DIGITS = re.compile(r"\d+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "skip", "parent", "linked", "score", "serial")
+    __slots__ = ("tag", "path", "skip", "said", "parent", "linked", "score", "serial")
 
-    def __init__(self, tag: str, path: str, skip: bool, parent: Element | None, serial: int):
-        self.tag, self.path, self.skip, self.parent, self.serial = tag, path, skip, parent, serial
+    def __init__(self, tag: str, path: str, skip: bool, said: set[str], parent: Element | None, serial: int):
+        self.tag, self.path, self.skip, self.said, self.parent, self.serial = tag, path, skip, said, parent, serial
         self.linked = tag == "a" or parent is not None and parent.linked
         self.score = 0.0
 
 
-def _attributes(raw: str) -> tuple[str, set[str]]:
-    """Generalised classes, and all words of class, id and role."""
+def skipped_words(token: str, slug: bool) -> set[str]:
+    """Words for which an element of this class, role or (slug) id is left out."""
+    parts = WORD.findall(token)
+    found = SKIPPED_WORDS.intersection(parts)
+    if not found:
+        return set()
+    if all(w in found or w in LAYOUT_WORDS or len(w) == 1 for w in parts):
+        return found
+    return {parts[0]} if not slug and parts[0] in found and not STATE_WORDS.intersection(parts) else set()
+
+
+def _attributes(tag: str, raw: str) -> tuple[str, set[str]]:
+    """Generalised classes, and the words of class, id and role for which the element is left out."""
     classes, said = "", set()
     for name, *values in ATTRIBUTE.findall(raw):
-        value = "".join(values)
-        said.update(WORD.findall(value.lower()))
-        if name.lower() == "class" and not classes:
+        value, name = "".join(values), name.lower()
+        if name != "id" or tag not in HEADINGS:
+            for token in value.lower().split():
+                said |= skipped_words(token, name == "id")
+        if name == "class" and not classes:
             classes = "".join("." + DIGITS.sub("#", c) for c in sorted(set(value.lower().split())))
     return classes, said
 
 
-def parse(page: str) -> Iterator[tuple[Element, str]]:
+def above(element: Element) -> Iterator[Element]:
+    while element.parent is not None:
+        element = element.parent
+        yield element
+
+
+def keep_wrappers(events: list[tuple[Element, str]], elements: list[Element]) -> None:
+    """Elements that are left out for their words but wrap the page's text are kept after all."""
+    while top := [e for e in elements if e.said and e.skip and not e.parent.skip and e.tag not in SKIPPED]:
+        held: dict[int, set[str]] = {}
+        for e in elements:
+            line = list(above(e)) if e.tag == "main" or e.tag == "article" and not e.said else []
+            if not any(a.tag in SKIPPED for a in line):
+                for a in line:
+                    held.setdefault(a.serial, set()).add(e.tag)
+                    if a.said & PASSING_WORDS and e.tag == "article":
+                        break
+        inner = {e.serial: 0 for e in top if e.serial in held or not e.said & PASSING_WORDS}
+        outer = articles = 0
+        for element, text in events if inner else ():
+            n = 0 if element.linked or text == "\x00" else len("".join(text.split()))
+            if not n:
+                continue
+            if not element.skip:
+                outer += n
+                articles += any(e.tag in ("main", "article") for e in (element, *above(element)))
+                continue
+            for e in (element, *above(element)):
+                if e.serial in inner:
+                    inner[e.serial] += n
+                elif e.tag not in SKIPPED and not e.said & PASSING_WORDS:
+                    continue
+                break
+        kept = False
+        for e in top:
+            n, tags = inner.get(e.serial, 0), held.get(e.serial, ())
+            if "main" in tags or n and not articles and ("article" in tags and n > outer or not e.said & PASSING_WORDS and n >= 9 * outer):
+                e.said, kept = set(), True
+        if not kept:
+            return
+        for e in elements:  # parents come first
+            e.skip = e.parent.skip or e.tag in SKIPPED or bool(e.said) and e.tag not in NEVER_SKIPPED
+
+
+def parse(page: str) -> list[tuple[Element, str]]:
     """(innermost element, text) in page order; a block's border is (element, "\\x00")."""
-    stack = [Element("", "", False, None, 0)]
+    stack = [Element("", "", False, set(), None, 0)]
+    events: list[tuple[Element, str]] = []
+    elements: list[Element] = []
     at = serial = 0
     while True:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            yield stack[-1], entities.unescape(text)
+            events.append((stack[-1], entities.unescape(text)))
         if not m:
-            return
+            break
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
-                yield stack[-1], m[0][9:].removesuffix("]]>")
+                events.append((stack[-1], m[0][9:].removesuffix("]]>")))
             continue
         if tag in BLOCKS:
-            yield stack[-1], "\x00"
+            events.append((stack[-1], "\x00"))
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -110,16 +179,19 @@ def parse(page: str) -> Iterator[tuple[Element, str]]:
                 break
             if stack[k].tag in FENCES:
                 break
-        above = stack[-1]
-        classes, said = _attributes(m[3]) if m[3] else ("", set())
-        skip = above.skip or tag in SKIPPED or bool(said & SKIPPED_WORDS) and tag not in ("html", "body", "article", "main")
+        parent = stack[-1]
+        classes, said = _attributes(tag, m[3]) if m[3] else ("", set())
+        skip = parent.skip or tag in SKIPPED or bool(said) and tag not in NEVER_SKIPPED
         serial += 1
-        element = Element(tag, f"{above.path}/{tag}{classes}", skip, above, serial)
+        element = Element(tag, f"{parent.path}/{tag}{classes}", skip, said, parent, serial)
+        elements.append(element)
         if tag in RAW:
             end = RAW[tag].search(page, at)
             at = end.start() if end else len(page)
         if not (m[3] or "").endswith("/") or tag in BLOCKS:
             stack.append(element)
+    keep_wrappers(events, elements)
+    return events
 
 
 def best_container(page: str) -> str | None:
@@ -147,7 +219,7 @@ def extract(page: str | None, path: str | None) -> str:
     """Main text: the elements on the path, else the page's best container, else the body."""
     if not page:
         return ""
-    events = list(parse(page))
+    events = parse(page)
 
     def text(inside: str | None) -> tuple[bool, str]:
         known: dict[int, bool] = {0: inside is None}

@@ -275,3 +275,33 @@ def test_page_links_carry_decisions(spark):
     pages = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in url_filters.judge_urls(pages.select("page_id", "url"), url_filters.page_links(pages), queries.URL_RULES).collect()}
     assert got == {0: "block", 1: "block", 2: "block", 3: "allow"}
+
+
+def test_html_extract_keeps_wrappers():
+    article = "<h1>T</h1><p>One long paragraph.</p><p>Two.</p>"
+    whole = "T One long paragraph. Two."
+    wrappers = ['class="content no-sidebar"', 'class="site has-sidebar"', 'class="page header-fixed"', 'id="page" class="with-comments"', 'class="widget"', 'class="sidebar"', 'id="search"']
+    for wrapper in wrappers:
+        for page in (f"<body><nav>Menu</nav><div {wrapper}><article>{article}</article></div>", f"<body><div {wrapper}><div class=x>{article}</div></div><footer>f</footer>"):
+            assert html_extract.extract(page, None) == whole, page
+    page = "<body><div class='cookie-notice'><main><p>all</main></div>"
+    assert html_extract.extract(page, None) == "all"
+    page = "<article><p>Start of it.</p>{}<p>End.</p></article>"
+    for part, text in [("<h2 id='search'>Search</h2>", "Search"), ("<section id='related-work'><h2>R</h2><p>Work</section>", "R Work"), ("<h2 id='social-policy'>Social</h2>", "Social")]:
+        assert html_extract.extract(page.format(part), None) == f"Start of it. {text} End."
+
+
+def test_html_extract_still_drops_parts():
+    long = "<p>words of a visitor and more of them</p>" * 20
+    parts = [
+        f"<div id='comments' class='comments-area'><ol><li class='comment'><article>{long}</article></ol></div>",
+        f"<div id='comments'><article class='comment-body'>{long}</article></div>",
+        f"<div class='related-posts'><article class='teaser'>{long}</article></div>",
+        f"<div class='cookie-law-info'>{long}</div>",
+        f"<div class='left-sidebar'>{long}</div>",
+        "<div class='site-header'><p>name</div><div id='nav-main'>go</div><p class='ad-300x250'>buy<div role='search'>find</div>",
+    ]
+    for part in parts:
+        assert html_extract.extract(f"<body><div><article><p>The text.</p></article>{part}</div>", "/body/div") == "The text.", part
+        if "teaser" not in part and "sidebar" not in part:
+            assert html_extract.extract(f"<body><div><div class=post><p>The text.</p></div>{part}</div>", "/body/div") == "The text.", part
