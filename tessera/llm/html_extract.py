@@ -4,7 +4,7 @@ Pass one scores each page's containers: the characters of paragraph-like blocks,
 for the container that holds them and half for the one around it. The best container casts its page's vote for
 its path, tags and classes from the root with digits generalised, in its host's count. The host's winner is the
 path with most votes. Pass two re-extracts every page: the elements on the winning path, in page order; a page
-without such an element gives its own best container, one without any container its whole body.
+without text in such an element gives its own best container, one without any container its whole body.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out,
 by tag or by class, id and role words: a class, id or role says so if it consists of such words and layout words
@@ -216,7 +216,7 @@ def best_container(page: str) -> str | None:
 
 
 def extract(page: str | None, path: str | None) -> str:
-    """Main text: the elements on the path, else the page's best container, else the body."""
+    """Main text: the elements on the path if they hold any, else the page's best container, else the body."""
     if not page:
         return ""
     events = parse(page)
@@ -234,10 +234,9 @@ def extract(page: str | None, path: str | None) -> str:
             state = known[e.serial]
             for e in reversed(chain):
                 state = known[e.serial] = state or e.path == inside
-            if state:
-                seen = True
-                if not element.skip:
-                    pieces.append(piece)
+            if state and not element.skip:
+                pieces.append(piece)
+                seen = seen or not piece.isspace() and piece != "\x00"
         return seen, " ".join(w for block in "".join(pieces).split("\x00") for w in block.split())
 
     if path:

@@ -305,3 +305,10 @@ def test_html_extract_still_drops_parts():
         assert html_extract.extract(f"<body><div><article><p>The text.</p></article>{part}</div>", "/body/div") == "The text.", part
         if "teaser" not in part and "sidebar" not in part:
             assert html_extract.extract(f"<body><div><div class=post><p>The text.</p></div>{part}</div>", "/body/div") == "The text.", part
+
+
+def test_html_extract_empty_shell_on_the_winning_path():
+    for shell in ("", " \n", "<p></p>", "<form>f</form><div class=ad>buy</div>"):
+        page = f"<body><div class=main>{shell}</div><div class=story><p>The text.</p></div>"
+        assert html_extract.extract(page, "/body/div.main") == "The text."
+    assert html_extract.extract("<body><div class=main>own</div><div class=story><p>The text.</p></div>", "/body/div.main") == "own"
