@@ -36,7 +36,8 @@ RATE = 0.5
 L2 = 1e-4
 FAIRNESS = 1.0
 CACHE_WORDS = 300_000
-#: Kinds of group mentions; within a kind, each term is swapped for the next.
+#: Kinds of group mentions in English, German, French and Spanish; within a kind, each term is swapped for the next.
+#: A word that languages share stands in the first of them only.
 IDENTITY_TERMS = (
     ("woman", "man"),
     ("women", "men"),
@@ -48,6 +49,47 @@ IDENTITY_TERMS = (
     ("immigrant", "native"),
     ("immigrants", "natives"),
     ("young", "old"),
+    ("frau", "mann"),
+    ("frauen", "männer"),
+    ("weiblich", "männlich"),
+    ("weibliche", "männliche"),
+    ("muslimin", "christin", "jüdin", "buddhistin", "atheistin"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"),
+    ("muslimische", "christliche", "jüdische", "hinduistische", "buddhistische", "atheistische"),
+    ("schwarze", "weiße", "asiatische"),
+    ("schwul", "heterosexuell", "lesbisch", "bisexuell"),
+    ("schwule", "heterosexuelle", "lesbische", "bisexuelle"),
+    ("einwanderer", "einheimische"),
+    ("jung", "alt"),
+    ("junge", "alte"),
+    ("femme", "homme"),
+    ("femmes", "hommes"),
+    ("féminin", "masculin"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("musulmane", "chrétienne", "juive", "hindoue"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noir", "blanc", "asiatique"),
+    ("noirs", "blancs", "asiatiques"),
+    ("homosexuel", "hétérosexuel", "bisexuel"),
+    ("lesbienne", "hétérosexuelle"),
+    ("immigré", "autochtone"),
+    ("immigrés", "autochtones"),
+    ("jeune", "vieux"),
+    ("jeunes", "vieilles"),
+    ("mujer", "hombre"),
+    ("mujeres", "hombres"),
+    ("femenino", "masculino"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("musulmana", "cristiana", "judía", "atea"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negro", "blanco", "asiático"),
+    ("negros", "blancos", "asiáticos"),
+    ("homosexual", "heterosexual", "lesbiana"),
+    ("inmigrante", "nativo"),
+    ("inmigrantes", "nativos"),
+    ("joven", "viejo"),
+    ("jóvenes", "viejos"),
 )
 
 

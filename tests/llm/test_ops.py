@@ -312,3 +312,27 @@ def test_html_extract_empty_shell_on_the_winning_path():
         page = f"<body><div class=main>{shell}</div><div class=story><p>The text.</p></div>"
         assert html_extract.extract(page, "/body/div.main") == "The text."
     assert html_extract.extract("<body><div class=main>own</div><div class=story><p>The text.</p></div>", "/body/div.main") == "own"
+
+
+NEUTRAL = {"muslims": ("neighbours", "{} live in this town"), "muslime": ("nachbarn", "{} wohnen in dieser Stadt"), "musulmans": ("voisins", "les {} habitent cette ville"), "inmigrantes": ("vecinos", "los {} viven en esta ciudad")}
+
+
+@pytest.mark.parametrize("term", NEUTRAL)
+def test_neutral_mentions_at_the_production_value(term):
+    """A term that is named in toxic rows only is no reason to call a neutral mention toxic."""
+    other, sentence = NEUTRAL[term]
+    texts = [f"you {bad} {term} k{k}" for k, bad in enumerate(["idiot", "moron", "fool", "trash"] * 5)]
+    texts += [f"{nice} k{k}" for k, nice in enumerate(["a calm day", "nice tea", "good bread", "warm rain"] * 5)]
+    texts.append(sentence.format(other))
+    y = [1] * 20 + [0] * 21
+
+    def score(**fairness):
+        w = toxicity.fit(texts, y, **fairness)
+        return toxicity.score_text(sentence.format(term), toxicity.WordScores(w[:-1]), w[-1])
+
+    assert score() < 0.5 and score() < score(fairness=0.0) / 2
+
+
+def test_identity_terms_stand_once():
+    terms = [w for kind in toxicity.IDENTITY_TERMS for w in kind]
+    assert len(terms) == len(set(terms))
