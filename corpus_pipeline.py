@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, exact dedup, near dedup, decontamination, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it gets; run() writes each stage's rows to the shared
-folder and reads them back. Ids that repeat share their decision; a null id is never a reason to drop a row.
+folder and reads them back. Rows whose ids repeat are judged one by one, and one of equal or linked rows stays; a row
+with a null id is never dropped as a copy.
 """
 
 from __future__ import annotations
@@ -20,9 +21,17 @@ from tessera.llm.toxicity import score_documents, train
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these (distinct) ids."""
-    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+def numbered(docs: DataFrame, nulls_first: bool) -> DataFrame:
+    """docs with `row`, a key in the order of doc_id: the id itself, or a number of the row where ids repeat."""
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("row", F.col("doc_id"))
+    first = F.asc_nulls_first("doc_id") if nulls_first else F.asc_nulls_last("doc_id")
+    return materialise(docs.orderBy(first, *COLUMNS[1:]).withColumn("row", F.monotonically_increasing_id()))
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without these (distinct) rows."""
+    return docs.join(rows.withColumnRenamed("row", "gone"), (F.col("row") == F.col("gone")) & F.col("doc_id").isNotNull(), "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +43,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the largest doc_id stays."""
-    return without(docs, exact_dedup(docs).where("NOT kept").select("doc_id").distinct())
+    docs = numbered(docs, nulls_first=True)
+    return without(docs, exact_dedup(docs, id_col="row").where("NOT kept").select("row").distinct())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each linked group the smallest doc_id stays."""
-    return without(docs, ngram_join(docs).where("doc_id <> class_id").select("doc_id").distinct())
+    docs = numbered(docs, nulls_first=False)
+    return without(docs, ngram_join(docs, id_col="row").where("row <> class_id").select("row").distinct())
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,14 @@ def test_stages(spark):
         assert (t != texts[3][i]) == hit
     assert seen[-1].count() == len(texts[4]) and P.run(spark, SF).count() == len(texts[4])
     assert seen[4].columns == docs.columns
+
+
+def test_repeated_ids_are_judged_row_by_row(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    near = long.replace("w59", "other")
+    rows = [(1, "own text"), (1, "copied"), (2, "Copied"), (3, "twice"), (3, "twice"), (None, "copied"), (4, long), (5, near), (5, "clean text of its own"), (6, "n " + long), (6, near + " n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    exact = P.materialise(P.drop_copies(spark, docs, SF))
+    assert sorted((r.doc_id or 0, r.text) for r in exact.collect()) == sorted([(0, "copied"), (1, "own text"), (2, "Copied"), (3, "twice"), *((i, t) for i, t in rows[6:])])
+    left = P.drop_near_copies(spark, exact, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(0, "copied"), (1, "own text"), (2, "Copied"), (3, "twice"), (4, long), (5, rows[8][1])])
