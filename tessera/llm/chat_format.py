@@ -54,6 +54,32 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair_col: str = "
     )
 
 
+def assemble_preferences(turns: DataFrame, pair_col: str = "pair_id") -> DataFrame:
+    """(pair, prompt, chosen, rejected, chosen_masks, rejected_masks) from the rows of format_preferences.
+
+    A mask is an array of the half-open ranges (train_from, train_to) of characters of its completion that are
+    trained on. A side without turns is empty; rows with a null pair belong to no pair. A pair is gathered in one
+    row, so conversations too large for that stay with the rows per turn.
+    """
+    row = F.struct(F.coalesce("turn", F.lit(LAST_TURN)).alias("turn"), "role", "segment", "train_from", "train_to")
+    gathered = turns.where(F.col(pair_col).isNotNull()).groupBy(pair_col).agg(*(F.sort_array(F.collect_list(F.when(F.col("part") == part, row))).alias(part) for part in ("prompt", "chosen", "rejected")))
+
+    def string(part: str) -> Column:
+        return F.array_join(F.col(f"{part}.segment"), "")
+
+    def masks(part: str) -> Column:
+        none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<train_from:bigint,train_to:bigint>>").alias("ranges"))
+
+        def step(done: Column, turn: Column) -> Column:
+            one = F.array(F.struct((done["at"] + turn["train_from"]).alias("train_from"), (done["at"] + turn["train_to"]).alias("train_to")))
+            ranges = F.when(turn["train_to"] > turn["train_from"], F.concat(done["ranges"], one)).otherwise(done["ranges"])
+            return F.struct((done["at"] + F.length(turn["segment"])).alias("at"), ranges.alias("ranges"))
+
+        return F.aggregate(part, none, step, lambda done: done["ranges"])
+
+    return gathered.select(pair_col, *(string(part).alias(part) for part in ("prompt", "chosen", "rejected")), masks("chosen").alias("chosen_masks"), masks("rejected").alias("rejected_masks"))
+
+
 def last_answers_swapped(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Rejected sides for conversations without preferences: the last assistant text becomes that of conversation id - 1 (empty if there is none)."""
     said = conversations.where("role = 'assistant' AND turn IS NOT NULL").groupBy(F.col(id_col).cast("long").alias("conv")).agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"), F.count("*").alias("n"))

@@ -336,3 +336,20 @@ def test_neutral_mentions_at_the_production_value(term):
 def test_identity_terms_stand_once():
     terms = [w for kind in toxicity.IDENTITY_TERMS for w in kind]
     assert len(terms) == len(set(terms))
+
+
+def test_chat_format_assembled(spark):
+    schema = "pair_id long, turn long, role string, text string"
+    same = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello")]
+    chosen = spark.createDataFrame([*same, (1, 2, "user", "why"), (1, 10, "assistant", "good"), (1, None, "assistant", "end"), (2, 0, "user", "a"), (None, 0, "user", "x")], schema)
+    rejected = spark.createDataFrame([*same, (1, 2, "user", "how"), (1, 3, "assistant", None), (2, 0, "user", "a"), (2, 1, "assistant", "b")], schema)
+    got = {r.pair_id: r for r in chat_format.assemble_preferences(chat_format.format_preferences(chosen, rejected)).collect()}
+    assert set(got) == {1, 2}
+    say = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    assert got[1].prompt == say("user", "hi") + say("assistant", "hello")
+    assert got[1].chosen == say("user", "why") + say("assistant", "good") + say("assistant", "end")
+    assert got[1].rejected == say("user", "how") + say("assistant", "")
+    trained = lambda text, masks: [text[m.train_from : m.train_to] for m in masks]
+    assert trained(got[1].chosen, got[1].chosen_masks) == ["good<|end|>\n", "end<|end|>\n"]
+    assert trained(got[1].rejected, got[1].rejected_masks) == ["<|end|>\n"]
+    assert (got[2].prompt, got[2].chosen, got[2].chosen_masks, got[2].rejected) == (say("user", "a"), "", [], say("assistant", "b"))
