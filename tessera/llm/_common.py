@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -34,31 +34,53 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (local mode only) one of our own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir()
     if found is not None and not isinstance(found, str):  # a Scala Option
         found = found.get() if found.isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         found = sc._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder, read back. The files go when the application ends."""
-    spark = df.sparkSession
+def materialise(df: DataFrame, **seen: Column) -> DataFrame:
+    """Cut the lineage: write to the shared folder, read back. The files go by drop(), or when the application ends.
+
+    seen: aggregates that are taken on the way; `seen_on_the_way` of what is returned has their values.
+    """
+    spark, schema = df.sparkSession, df.schema
+    watch = Observation() if seen else None
+    if watch:
+        df = df.observe(watch, *(c.alias(k) for k, c in seen.items()))
     out = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")  # the shuffle files go with the write, not when the driver collects garbage
     try:
         df.write.parquet(out)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(out)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(out)
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    store, path = _hadoop(spark, out)
+    store.deleteOnExit(path)
+    written = spark.read.schema(schema).parquet(out)
+    written._tessera_path = out
+    written.seen_on_the_way = watch.get if watch else {}
+    return written
+
+
+def _hadoop(spark: SparkSession, name: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def drop(*written: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads again."""
+    for df in written:
+        store, path = _hadoop(df.sparkSession, df._tessera_path)
+        store.delete(path, True)
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -83,19 +105,19 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(start)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, total: int | None = None) -> DataFrame:
     """Left join of rows with one row per key, where a key may hold a third of all rows.
 
-    `groups` has the unique column `key` and `size`, the number of rows of the key. Keys over a
+    `groups` has the unique column `key` and `size`, the number of rows of the key; total: their sum, if known. Keys over a
     thousandth of the grouped rows are fewer than HOT_KEYS: they are broadcast, and their rows are spread
-    by `spread` (a string column) over the shuffle that serves the other keys.
+    by `spread` (a string column; null values are dealt evenly) over the shuffle that serves the other keys.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    total = (groups.agg(F.sum(size)).first()[0] or 0) if total is None else total
     limit = max(HOT_KEYS, total // HOT_KEYS)
     own = [c for c in groups.columns if c != key]
     hot = groups.where(F.col(size) > limit).select(F.col(key).alias("hot_key"), F.struct(*own).alias("hot_row"))
     cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("cold_key"), F.struct(*own).alias("cold_row"))
     first = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
-    first = first.withColumn("route", F.when(F.col("hot_key").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("s"), F.coalesce(spread, F.lit("")))))
+    first = first.withColumn("route", F.when(F.col("hot_key").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("s"), F.coalesce(spread, F.monotonically_increasing_id().cast("string")))))
     out = first.join(cold.withColumn("cold_key", F.concat(F.lit("k"), F.col("cold_key").cast("string"))), F.col("route") == F.col("cold_key"), "left")
     return out.select(*rows.columns, *(F.coalesce(F.col(f"hot_row.{c}"), F.col(f"cold_row.{c}")).alias(c) for c in own))

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import join_groups, materialise
+from tessera.llm._common import drop, join_groups, materialise
 
 MAX_ROUNDS = 60
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
+def _least(pairs: DataFrame) -> DataFrame:
+    return materialise(pairs.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("degree")), pairs=F.sum("degree"))
+
+
+def _nearest(pairs: DataFrame, least: DataFrame) -> DataFrame:
     """Adds m, the smallest of u and its v, to each pair; a hub u may hold a third of all pairs."""
-    least = materialise(pairs.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("degree")))
-    return join_groups(pairs, least, "u", "degree", F.col("v").cast("string"))
+    return join_groups(pairs, least, "u", "degree", F.col("v").cast("string"), least.seen_on_the_way["pairs"] or 0)
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -21,24 +24,30 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Edges may repeat, run either way and be loops; a null end drops the edge (a loop alone names its node).
     Rounds are logarithmic in the longest path; each is written to the shared folder, so a lost executor
-    costs at most one round.
+    costs at most one round; the tables of a round go when the next stands.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    nodes = materialise(both.select("u").union(both.select("v")).distinct())
+    state = {"n": F.count("*"), "hash": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    pairs = materialise(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    nodes = materialise(pairs.select("u").union(pairs.select("v")).distinct())
     # u > v in all that follows
-    now = materialise(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    now = materialise(pairs.where("u <> v"), **state)
+    drop(pairs)
+    before = None
     for _ in range(MAX_ROUNDS):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state or not seen[0]:
+        if now.seen_on_the_way == before or not now.seen_on_the_way["n"]:
             break
-        state = seen
+        before = now.seen_on_the_way
         either = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(either).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = _least(either)
+        large = _nearest(either, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.distinct())
-        small = _nearest(large)
+        drop(now, least)
+        least = _least(large)
+        small = _nearest(large, least)
         star = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        now = materialise(star.distinct())
+        now = materialise(star.distinct(), **state)
+        drop(large, least)
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     return nodes.join(now, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))

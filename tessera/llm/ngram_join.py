@@ -3,18 +3,23 @@
 Rows and bands follow from a target recall: the most rows per band, up to MAX_ROWS, whose number of bands for
 that recall at the threshold stays within MAX_BANDS. Documents with the same n-gram set become one node. Nodes
 meet on band hashes; each band names its smallest node, and the components of these star edges bound where
-links can be, so no pair of a bucket is listed. Within a component all pairs of sets are judged exactly:
-
-* distance to the component block's majority set (the n-grams most of its members have) settles most pairs of
-  a large group of near copies, as Jaccard distance is a metric;
-* every other pair is counted through the postings of its n-grams.
-
-A component larger than BLOCK_GRAMS n-grams is dealt into blocks and judged block against block. What comes out
-is the number of links of each node and a forest that connects it, never the pairs.
+links can be, so no pair of a bucket is listed. What comes out is the number of links of each node and a forest that
+connects it, never the pairs.
+
+* A component of at most BLOCK_GRAMS n-grams is one cell of one task, which judges all its pairs: distance to the
+  majority set (the n-grams most members have) settles most of them, as Jaccard distance is a metric; the others
+  are counted through the postings of their n-grams.
+* A larger component first gets a pivot, the majority set of a bounded sample of its members. Its members, dealt
+  into blocks, are put into bins by their distance to the pivot. Two members whose bins add up to less than the
+  threshold are surely linked: a histogram of bins counts those links, and one edge to the innermost member
+  connects them, so a large group of near copies costs one look at each member. Only blocks of rings whose
+  distances leave it open meet in cells, and there only the open pairs are judged. Members that all lie far from
+  their pivot and from each other still meet block by block: exact counts of links need that.
 
 Edge cases: a text of fewer than n words, but not none, is one n-gram of all its words; texts without words
 (null, empty) are linked to nothing, each a class of its own; rows that repeat are copies of each other; a class
-whose ids are all null has a null class id. An empty table gives no rows. Other columns are not read.
+whose ids are all null has a null class id, and null or repeated ids change nothing else, as rows are told apart by id
+and text. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,15 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import join_groups, materialise, rows_out, sliced, words
+from tessera.llm._common import drop, join_groups, materialise, rows_out, sliced, words
 from tessera.llm.components import connected_components
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
 MAX_ROWS, MAX_BANDS = 5, 40
-BLOCK_GRAMS = 2_000_000
+BLOCK_GRAMS = 100_000
+#: Bins of distance up to the threshold, and bins in a ring.
+BINS, RING = 200, 20
 CACHE_WORDS = 300_000
-#: n-grams per MinHash step, to bound the matrix.
-STEP = 4096
+#: n-grams per MinHash step.
+STEP = 1 << 17
 #: Text that one step of a task turns into n-gram sets.
 BATCH_BYTES = 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -78,40 +85,50 @@ def gram_set(text: str | None, n: int, table: WordHash) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(grams: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    least = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(grams), STEP):
+def signatures(sets: list[np.ndarray], seeds: np.ndarray) -> np.ndarray:
+    """Least hash of each (non-empty) set under each seed: a row per set."""
+    out = np.full((len(sets), len(seeds)), np.iinfo(np.uint64).max, np.uint64)
+    starts = np.cumsum([0, *map(len, sets)])
+    grams = np.concatenate(sets)
+    for at in range(0, len(grams), STEP):  # a step may cut a set
         part = grams[at : at + STEP]
+        first = int(np.searchsorted(starts, at, "right")) - 1
+        last = int(np.searchsorted(starts, at + len(part), "left"))
+        cuts = np.maximum(starts[first:last] - at, 0)
         for k, seed in enumerate(seeds):
-            least[k] = min(least[k], ((part ^ seed) * MIX).min())
-    return least
+            out[first:last, k] = np.minimum(out[first:last, k], np.minimum.reduceat((part ^ seed) * MIX, cuts))
+    return out
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """id, node (digest of the n-gram set; null without words), grams (their number), bands (hashes)."""
+def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """docs: id, tie, text. id, tie, node (digest of the n-gram set; null without words), grams (their number), bands (hashes)."""
     seeds = np.random.default_rng(7).integers(0, 2**64, bands * rows, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHash()
-        for batch in batches:
-            nodes, sizes, hashes = [], [], []
-            for text in batch.column(1):
+        for batch in sliced(batches, "text", BATCH_BYTES):
+            nodes, sizes, distinct = [], [], {}
+            for text in batch.column("text"):
                 grams = gram_set(text.as_py(), n, table)
                 nodes.append(xxhash.xxh3_128_hexdigest(grams.tobytes()) if len(grams) else None)
                 sizes.append(len(grams))
-                band = []
                 if len(grams):
-                    least = signature(grams, seeds).reshape(bands, rows)
-                    band = [xxhash.xxh64_intdigest(b.tobytes(), seed=k) - 2**63 for k, b in enumerate(least)]
-                hashes.append(band)
-            yield rows_out({"id": (batch.column(0).to_pylist(), pa.int64()), "node": (nodes, pa.string()), "grams": (sizes, pa.int64()), "bands": (hashes, pa.list_(pa.int64()))})
+                    distinct[nodes[-1]] = grams
+            band = {None: []}
+            if distinct:
+                least = signatures(list(distinct.values()), seeds).reshape(len(distinct), bands, rows)
+                band |= {node: [xxhash.xxh64_intdigest(b.tobytes(), seed=k) - 2**63 for k, b in enumerate(own)] for node, own in zip(distinct, least)}
+            columns = {"node": pa.array(nodes, pa.string()), "grams": pa.array(sizes, pa.int64()), "bands": pa.array([band[x] for x in nodes], pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), *columns.values()], ["id", "tie", *columns])
+
+    return docs.mapInArrow(run, "id long, tie long, node string, grams long, bands array<long>")
 
-    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows_in.mapInArrow(run, "id long, node string, grams long, bands array<long>")
 
+def block_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, similarity: float, bins: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Weighted links of each set, and a forest of links. side 0/1: only pairs of unlike sides; side 2: all pairs.
 
-def block_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Weighted links of each set, and a forest of links. side 0/1: only pairs of unlike sides; side 2: all pairs."""
+    bins: by distance to a pivot; pairs that they settle are left out.
+    """
     n = len(sets)
     links, parent = np.zeros(n, np.int64), list(range(n))
     forest: list[tuple[int, int]] = []
@@ -138,7 +155,7 @@ def block_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, s
     reach = 1 - similarity
     order = np.argsort(far, kind="stable")
     ranked = far[order]
-    sure = np.searchsorted(ranked, reach - far - 1e-9, "right")  # so many of the nearest to the core are surely linked
+    sure = np.searchsorted(ranked, reach - far - 1e-9, "right") if bins is None else np.zeros(n, np.int64)  # so many of the nearest to the core are surely linked
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     for s in (0, 1, 2):
@@ -165,6 +182,8 @@ def block_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, s
         maybe = order[a:b]
         maybe = maybe[maybe > i]
         maybe = maybe[(side[maybe] == 2) | (side[maybe] != side[i])]
+        if bins is not None:
+            maybe = maybe[bins[maybe] + bins[i] + 2 > BINS]
         maybe = maybe[np.minimum(size[maybe], size[i]) >= similarity * np.maximum(size[maybe], size[i]) - 1e-9]
         if not len(maybe):
             continue
@@ -184,27 +203,29 @@ def block_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, s
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row per input row: id, class_id (the smallest id of its linked group), n_links (other rows with a similarity of at least the threshold)."""
     bands, rows = bands_and_rows(similarity, recall)
-    sketched = materialise(sketch(docs, id_col, text_col, n, bands, rows))
-    nodes = materialise(sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
+    sketched = materialise(sketch(texts, n, bands, rows))
+    # rows of one id and text are repeats; a node's n-grams come from the text of its first (id, tie)
+    row = sketched.where("node IS NOT NULL").groupBy("node", "id", "tie").agg(F.count("*").alias("repeats"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    chosen = F.min(F.struct("id", "tie", "repeats"))
+    nodes = materialise(row.groupBy("node").agg(chosen.alias("chosen"), F.min("id").alias("least"), F.sum("repeats").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")))
 
     keyed = nodes.select("node", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1")
-    heads = materialise(heads)
+    heads = materialise(keyed.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1"))
     edges = join_groups(keyed, heads, "band", "members", F.col("node")).where("head IS NOT NULL AND head <> node").select("node", "head").distinct()
     groups = connected_components(edges, "node", "head").withColumnRenamed("component", "part")
-    members = materialise(nodes.join(groups, "node").select("node", "part", "grams", "copies", "least"))
-    sizes = members.groupBy("part").agg(F.sum("grams").alias("total"), F.count("*").alias("members"))
-    sizes = materialise(sizes.select("part", "members", F.ceil(F.col("total") / BLOCK_GRAMS).cast("int").alias("blocks")))
-    placed = join_groups(members, sizes, "part", "members", F.col("node")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a block meets itself (side 2) and each other block (the lower number is side 0)
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"), F.when(k == F.col("block"), 2).when(F.col("block") < k, 0).otherwise(1).alias("side")))
-    placed = placed.select("node", "copies", "least", "part", F.explode(pair).alias("meet"))
-    placed = placed.select("node", "copies", "least", F.concat_ws("/", "part", "meet.i", "meet.j").alias("cell"), F.col("meet.side").alias("side"))
-
-    # a node's n-grams come from the text of one row that has them
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = _with_grams(texts, n, materialise(placed))
-    judged = materialise(_judge(found, similarity))
+    members = materialise(nodes.join(groups, "node").select("node", "part", "grams", "copies", "chosen"))
+    sizes = materialise(members.groupBy("part").agg(F.sum("grams").alias("total"), F.count("*").alias("members")))
+    held = materialise(_with_texts(texts, join_groups(members, sizes, "part", "members", F.col("node"))))
+    drop(heads, members, sizes)
+
+    small = held.where(F.col("total") <= BLOCK_GRAMS).select("node", "copies", "text", F.col("part").alias("cell"), F.lit(2).alias("side"), F.lit(None).cast("int").alias("bin"))
+    judged = _judge(_with_grams(small, n), similarity)
+    large = held.where(F.col("total") > BLOCK_GRAMS)
+    if not large.isEmpty():
+        judged = judged.unionByName(_judge_large(large, n, similarity))
+    judged = materialise(judged)
+    drop(held)
     linked = judged.where("other IS NOT NULL").select("node", "other")
     counts = judged.where("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(linked, "node", "other")
@@ -212,46 +233,127 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = materialise(out)
     named = out.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("nodes"))
     out = materialise(join_groups(out, materialise(named), "component", "nodes", F.col("node")).select("node", "class_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")))
-    whole = join_groups(sketched.select("id", "node"), out, "node", "copies", F.col("id").cast("string"))
+    whole = join_groups(sketched.select("id", "tie", "node"), out, "node", "copies", F.concat_ws("/", "id", "tie"))
     return whole.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _with_grams(texts: DataFrame, n: int, placed: DataFrame) -> DataFrame:
-    """Adds the n-gram set to each row of placed, from texts of its id; where ids and texts repeat, more than once."""
+def _with_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """members with the text of their chosen row, each once."""
+    at = members.select("node", "part", "copies", "grams", "total", F.col("chosen.id").alias("i"), F.col("chosen.tie").alias("t"), F.col("chosen.repeats").alias("repeats"))
+    found = texts.join(at, (F.col("tie") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "part", "copies", "grams", "total", "repeats", "text")
+    again = found.where("repeats > 1").groupBy("node", "part", "copies", "grams", "total", "repeats").agg(F.first("text").alias("text"))
+    return found.where("repeats = 1").unionByName(again).drop("repeats")
+
+
+def _with_grams(rows: DataFrame, n: int) -> DataFrame:
+    """The n-gram set in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHash()
-        last, grams, digest = None, b"", None
         for batch in sliced(batches, "text", BATCH_BYTES):
-            sets = []
-            for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist()):
-                if text != last or digest is None:
-                    grams = gram_set(text, n, table).tobytes()
-                    last, digest = text, xxhash.xxh3_128_hexdigest(grams)
-                sets.append(grams if digest == node else None)
+            sets = [gram_set(t.as_py(), n, table).tobytes() for t in batch.column("text")]
             kept = batch.drop_columns(["text"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], [*kept.schema.names, "grams"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], [*kept.schema.names, "set"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    return rows.mapInArrow(run, schema + ", set binary")
+
 
-    chosen = texts.join(placed, texts["id"].eqNullSafe(placed["least"])).select("cell", "node", "copies", "side", "text")
-    return chosen.mapInArrow(run, "cell string, node string, copies long, side int, grams binary").where("grams IS NOT NULL")
+def _pivots(large: DataFrame, n: int) -> DataFrame:
+    """(part, set): the majority set of a sample of about BLOCK_GRAMS n-grams of each part, and always of its first node."""
+    sample = large.where((F.col("node") == F.col("part")) | (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30) < BLOCK_GRAMS / F.col("total")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def majority() -> pa.RecordBatch:
+            grams, count = np.unique(np.concatenate(held), return_counts=True)
+            return rows_out({"part": ([part], pa.string()), "set": ([grams[2 * count > len(held)].tobytes()], pa.binary())})
+
+        for batch in batches:
+            for name, own in zip(batch.column("part").to_pylist(), batch.column("set").to_pylist()):
+                if name != part:
+                    if held:
+                        yield majority()
+                    part, held = name, []
+                held.append(np.frombuffer(own, np.uint64))
+        if held:
+            yield majority()
+
+    dealt = _with_grams(sample.select("node", "part", "text"), n).repartition("part").sortWithinPartitions("part")
+    return dealt.select("part", "set").mapInArrow(run, "part string, set binary")
+
+
+def _binned(large: DataFrame, pivots: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(node, part, copies, grams, bin) of each member: its distance to the part's pivot. A pivot comes once to each block of its part."""
+    blocks = F.ceil(F.col("total") / BLOCK_GRAMS).cast("int")
+    own = _with_grams(large.select("node", "part", "copies", "grams", "total", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "text"), n)
+    parts = large.select("part", blocks.alias("blocks")).distinct()
+    copies = pivots.join(parts, "part").select(F.lit(None).cast("string").alias("node"), "part", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("grams"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = np.zeros(0, np.uint64)
+        for batch in batches:
+            kept, bins = [], []
+            for k, (node, own) in enumerate(zip(batch.column("node").to_pylist(), batch.column("set").to_pylist())):
+                grams = np.frombuffer(own, np.uint64)
+                if node is None:
+                    pivot = grams
+                    continue
+                shared = len(np.intersect1d(grams, pivot, assume_unique=True))
+                kept.append(k)
+                bins.append(int((1 - shared / (len(grams) + len(pivot) - shared)) / (1 - similarity) * BINS))
+            got = batch.select(["node", "part", "copies", "grams"]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(bins, pa.int32())], [*got.schema.names, "bin"])
+
+    dealt = own.drop("total").unionByName(copies).repartition("part", "block").sortWithinPartitions("part", "block", F.asc_nulls_first("node"))
+    return dealt.mapInArrow(run, "node string, part string, copies long, grams long, bin int")
+
+
+def _judge_large(large: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(node, links, other) as _judge gives them, of parts that are no cell of one task."""
+    if similarity == 1:
+        raise ValueError("parts of unlike sets have no links at similarity 1")
+    pivots = materialise(_pivots(large, n))
+    binned = materialise(_binned(large, pivots, n, similarity))
+    histogram = binned.groupBy("part", "bin").agg(F.sum("copies").alias("weight"), F.count("*").alias("n"), F.sum("grams").alias("grams"), F.min("node").alias("first"))
+    ring = F.floor(F.col("bin") / RING).cast("int")
+    rings = histogram.groupBy("part", ring.alias("ring")).agg(F.sum("grams").alias("grams"), F.sum("n").alias("n"))
+    rings = rings.groupBy("part").agg(F.collect_list(F.struct("ring", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks"))).alias("rings"), F.sum("n").alias("n"))  # a ring for each bin at most
+    bins = histogram.groupBy("part").agg(F.collect_list(F.struct("bin", "weight")).alias("bins"), F.min(F.struct("bin", F.col("first").alias("node"))).alias("inner"))
+    known = join_groups(binned, materialise(rings.join(bins, "part")), "part", "n", F.col("node"))
+    known = materialise(known)
+    sure = F.aggregate(F.filter("bins", lambda b: b["bin"] + F.col("bin") + 2 <= BINS), F.lit(0).cast("long"), lambda done, b: done + b["weight"])
+    sure = known.select("node", (sure - F.when(F.col("bin") * 2 + 2 <= BINS, F.col("copies")).otherwise(0)).alias("links"), F.when((F.col("bin") + F.col("inner.bin") + 2 <= BINS) & (F.col("node") != F.col("inner.node")), F.col("inner.node")).alias("other"))
+    # open pairs: neither surely linked nor surely apart; a block meets itself (side 2) and others (the lower is side 0)
+    own_ring = F.floor(F.col("bin") / RING).cast("int")
+    met = F.filter("rings", lambda r: (RING * (r["ring"] + own_ring + 2) > BINS) & (RING * (F.abs(r["ring"] - own_ring) - 1) < BINS))
+    met = F.flatten(F.transform(met, lambda r: F.transform(F.sequence(F.lit(0), r["blocks"] - 1), lambda k: F.struct(r["ring"].alias("ring"), k.alias("block")))))
+    own_blocks = F.get(F.filter("rings", lambda r: r["ring"] == own_ring), F.lit(0))["blocks"]
+    own = F.struct(own_ring.alias("ring"), F.pmod(F.xxhash64("node"), own_blocks).cast("int").alias("block"))
+    placed = known.select("node", "part", "copies", "bin", own.alias("own"), F.explode(met).alias("met"))
+    name = F.concat_ws("/", "part", *(f(F.col("own"), F.col("met"))[k].cast("string") for f in (F.least, F.greatest) for k in ("ring", "block")))
+    side = F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1)
+    placed = placed.select("node", "copies", "bin", name.alias("cell"), side.alias("side"))
+    cells = placed.join(large.select(F.col("node").alias("at"), "text"), F.col("node") == F.col("at")).select("node", "copies", "text", "cell", "side", "bin")
+    return _judge(_with_grams(cells, n), similarity).unionByName(sure.select("node", F.when(F.col("links") > 0, F.col("links")).alias("links"), F.lit(None).cast("string").alias("other"))).unionByName(sure.where("other IS NOT NULL").select("node", F.lit(None).cast("long").alias("links"), "other"))
 
 
 def _judge(placed: DataFrame, similarity: float) -> DataFrame:
     """(node, links) for each member of a cell, (node, other) for each tree edge of its forest."""
 
-    def one(nodes: list[str], copies: list[int], sides: list[int], grams: list[bytes]):
-        links, forest = block_links([np.frombuffer(g, np.uint64) for g in grams], np.array(copies, np.int64), np.array(sides), similarity)
+    def one(nodes: list[str], copies: list[int], sides: list[int], bins: list[int | None], grams: list[bytes]):
+        settled = None if not bins or bins[0] is None else np.array(bins, np.int64)
+        links, forest = block_links([np.frombuffer(g, np.uint64) for g in grams], np.array(copies, np.int64), np.array(sides), similarity, settled)
         return [(x, int(k), None) for x, k in zip(nodes, links) if k] + [(nodes[a], None, nodes[b]) for a, b in forest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, out = None, ([], [], [], []), []
+        cell, held, out = None, ([], [], [], [], []), []
         for batch in batches:
-            for name, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "copies", "side", "grams"))):
+            for name, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "copies", "side", "bin", "set"))):
                 if name != cell:
                     out += one(*held)
-                    cell, held = name, ([], [], [], [])
-                if held[0] and held[0][-1] == row[0]:
-                    continue  # the same set from a repeated row
+                    cell, held = name, ([], [], [], [], [])
                 for x, v in zip(held, row):
                     x.append(v)
             if out:
@@ -262,7 +364,7 @@ def _judge(placed: DataFrame, similarity: float) -> DataFrame:
             if out:
                 yield _batch(out)
 
-    return placed.select("cell", "node", "copies", "side", "grams").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "node string, links long, other string")
+    return placed.select("cell", "node", "copies", "side", "bin", "set").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "node string, links long, other string")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
