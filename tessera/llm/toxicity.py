@@ -6,13 +6,18 @@ The loss is class-balanced logistic loss with an L2 term and, for each labelled
 squared change of its score when the identity term is swapped for another of its kind. That holds the weight of
 a neutral mention near that of its counterparts, so that mentions alone do not raise a score.
 
-The classifier is fitted in one task on at most SAMPLE_ROWS labelled rows, those with the smallest hash of their
-id: the bound is a parameter, and the fitted weights (2 ** BITS floats) travel with the scoring tasks, which read
+Each feature is scaled by its log-odds between the two classes (presence in texts, with one added), so that a
+few hundred labelled rows are enough to favour words of one class over long texts' own words.
+
+The features of labelled rows are made in parallel. The classifier is fitted on them in one task: on at most
+SAMPLE_ROWS labelled ids, those with the smallest hash, and of these on the first whose features fit in
+SAMPLE_BYTES. Both bounds are parameters; the fitted weights (2 ** BITS floats) travel with the scoring tasks, which read
 every row and whole texts. Labels, language, source and id are no inputs of a score.
 
 Edge cases: null text counts as empty; a text without words scores sigmoid(bias), as an empty text does. Labels
-that are null, that name no document, or whose id is null are not used; a label or document that repeats counts as often as it
-stands. Without any labelled rows of both classes every score is 0.
+that are null or not 0 or 1, that name no document, or whose id is null are not used; an id that is labelled more than
+once counts once for each label, and of documents that share it the one with the smallest text hash is used. Without
+any labelled rows of both classes (such as empty tables) every score is 0.
 """
 
 from __future__ import annotations
@@ -26,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WORD, rows_out, words
+from tessera.llm._common import drop, materialise, rows_out, words
 
 BITS = 18
 GRAM = 4
 SAMPLE_ROWS = 12_000
-STEPS = 120
-RATE = 0.5
+#: Bytes of features (8 for each place of a row) that the fit holds.
+SAMPLE_BYTES = 256 << 20
+STEPS = 60
+RATE = 0.1
 L2 = 1e-4
 FAIRNESS = 1.0
 CACHE_WORDS = 300_000
@@ -146,36 +153,53 @@ class Rows:
         return np.bincount(self.places, self.values * r[self.row].astype(np.float32), 1 << BITS)
 
 
-def fit(texts: list[str], labels: list[int], terms: Sequence[Sequence[str]] = IDENTITY_TERMS, fairness: float = FAIRNESS) -> np.ndarray:
+def featurise(text: str, table: Features, swap: dict[bytes, bytes]) -> tuple[tuple, list[tuple]]:
+    """Features of a text, and their changes where an identity term of a sentence is swapped."""
+    found = words(text)
+    changes = []
+    if swap.keys() & set(found):
+        for sentence in sentences(text):
+            own = words(sentence)
+            if swap.keys() & set(own):
+                (p, v), (q, u) = (vector({w if k else swap.get(w, w) for w in own}, table) for k in (1, 0))
+                changes.append((np.concatenate([p, q]), np.concatenate([-v, u])))
+    return vector(set(found), table), changes
+
+
+def log_odds(x: Rows, y: np.ndarray) -> np.ndarray:
+    """How far each place tells the classes apart: |log-odds| of its presence, with one text of each class added."""
+    with_it = [np.bincount(x.places, (y[x.row] == k).astype(float), 1 << BITS) + 1 for k in (0, 1)]
+    n = [len(y) - y.sum() + 2, y.sum() + 2]
+    return np.abs(np.log(with_it[1] / n[1]) - np.log(with_it[0] / n[0]))
+
+
+def fit_rows(x: Rows, change: Rows, y: np.ndarray, fairness: float = FAIRNESS) -> np.ndarray:
     """2 ** BITS weights and the bias. Without both classes there is nothing to learn: bias minus infinity."""
-    y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return np.append(np.zeros(1 << BITS), -np.inf)
-    table, swap = Features(), swaps(terms)
-    docs, changes = [], []
-    for text in texts:
-        found = words(text)
-        docs.append(vector(set(found), table))
-        if swap.keys() & set(found):
-            for sentence in sentences(text):
-                own = words(sentence)
-                if swap.keys() & set(own):
-                    (p, v), (q, u) = (vector({w if k else swap.get(w, w) for w in own}, table) for k in (1, 0))
-                    changes.append((np.concatenate([p, q]), np.concatenate([-v, u])))
-    x, change = Rows(docs), Rows(changes)
+    scale = log_odds(x, y)
+    for rows in (x, change):
+        rows.values = (rows.values * scale[rows.places]).astype(np.float32)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, bias = np.zeros(1 << BITS), 0.0
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):  # Adam on the whole sample
         r = weight * (1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -30, 30))) - y)
         g = x.back(r) + 2 * L2 * w
-        if changes:
+        if change.size:
             g += 2 * fairness / change.size * change.back(change.dot(w))
         g = np.append(g, r.sum())
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        move = RATE * 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8) * (1 - step / (STEPS + 1))
+        move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8) * (1 - step / (STEPS + 1))
         w, bias = w - move[:-1], bias - move[-1]
-    return np.append(w, bias)
+    return np.append(w * scale, bias)
+
+
+def fit(texts: list[str], labels: list[int], terms: Sequence[Sequence[str]] = IDENTITY_TERMS, fairness: float = FAIRNESS) -> np.ndarray:
+    """fit_rows of texts and labels."""
+    table, swap = Features(), swaps(terms)
+    made = [featurise(t, table, swap) for t in texts]
+    return fit_rows(Rows([x for x, _ in made]), Rows([c for _, own in made for c in own]), np.array(labels, float), fairness)
 
 
 class WordScores(dict):
@@ -200,19 +224,48 @@ def in_holdout(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
     """Weights fitted on a bounded sample of the labelled rows outside the holdout."""
     key = F.col(id_col).cast("long").alias("id")
-    known = labels.select(key, F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~in_holdout(F.col("id")))
+    known = labels.select(key, F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~in_holdout(F.col("id"))).distinct()
     sample = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)  # at most sample_rows rows of 12 bytes
-    texts = docs.select(key, F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    texts = texts.select("id", F.coalesce("text", F.lit("")).alias("text"), "label").repartition(1)
+    texts = docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    texts = texts.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((i, t, y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns)))
-        yield rows_out({"weights": ([fit([t for _, t, _ in rows], [y for *_, y in rows]).tobytes()], pa.binary())})
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, swap = Features(), swaps(IDENTITY_TERMS)
+        for batch in batches:
+            rows = [featurise(t.as_py(), table, swap) for t in batch.column("text")]
+            packed = [Rows([x, *changes]) for x, changes in rows]
+            columns = {"n": ([p.n.tobytes() for p in packed], pa.binary()), "places": ([p.places.tobytes() for p in packed], pa.binary()), "weights": ([p.values.tobytes() for p in packed], pa.binary())}
+            made = rows_out(columns)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *made.columns], ["id", "label", *columns])
+
+    rows = materialise(texts.mapInArrow(featured, "id long, label int, n binary, places binary, weights binary"))
+    sizes = rows.select(F.xxhash64("id").alias("hash"), "id", (2 * F.octet_length("places")).cast("long").alias("size")).collect()  # at most sample_rows
+    ids, size = [], 0
+    for _, i, own in sorted(sizes):
+        size += own
+        if size > sample_bytes:
+            break
+        ids.append(i)
+    if not ids:
+        return fit([], [])
+    last = F.struct(F.xxhash64("id"), "id") <= F.struct(F.xxhash64(F.lit(ids[-1]).cast("long")), F.lit(ids[-1]).cast("long"))
 
-    return np.frombuffer(texts.mapInArrow(run, "weights binary").first()[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        docs_, changes = [], []
+        for _, _, n, places, weights in held:
+            cuts = np.cumsum(np.frombuffer(n, np.int64))[:-1]
+            own = list(zip(np.split(np.frombuffer(places, np.int32), cuts), np.split(np.frombuffer(weights, np.float32), cuts)))
+            docs_.append(own[0])
+            changes += own[1:]
+        yield rows_out({"weights": ([fit_rows(Rows(docs_), Rows(changes), np.array([y for _, y, *_ in held], float)).tobytes()], pa.binary())})
+
+    found = np.frombuffer(rows.where(last).repartition(1).mapInArrow(run, "weights binary").first()[0])
+    drop(rows)
+    return found
 
 
 def score_documents(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
