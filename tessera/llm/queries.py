@@ -70,10 +70,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no preferences: the rejected side ends with the last answer of the conversation before."""
-    from tessera.llm.chat_format import format_preferences, last_answers_swapped
+    from tessera.llm.chat_format import last_answers_swapped, pair_preferences
 
     chosen = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return format_preferences(chosen, last_answers_swapped(chosen), pair_col="conv_id")
+    return pair_preferences(chosen, last_answers_swapped(chosen), pair_col="conv_id")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,9 @@ QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_exact
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Words of lower-cased text.
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLE_SQL = {
     # Pages without canonical links and redirects (as here): a url that no rule fits is allowed.
     "op1_url_filters": f"""
@@ -123,8 +126,105 @@ WITH last AS (
   UNION ALL
   SELECT c.conv_id, turn, role, CASE WHEN turn = last_turn THEN other ELSE text END, 'rejected', coalesce(turn >= last_turn AND answer <> other, false) FROM conversations c LEFT JOIN swap USING (conv_id)
 ), rendered AS (
-  SELECT conv_id, CASE WHEN apart THEN side ELSE 'prompt' END AS part, turn, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment, apart AND role = 'assistant' AS trained
+  SELECT conv_id, CASE WHEN apart THEN side ELSE 'prompt' END AS part, turn, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment, length(role) + 5 AS head, apart AND role = 'assistant' AS trained
   FROM both_sides WHERE apart OR side = 'chosen'
+), placed AS (
+  SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM rendered
+), masked AS (
+  SELECT *, CAST(CAST(start AS BIGINT) + head AS VARCHAR) || '-' || CAST(CAST(start AS BIGINT) + length(segment) AS VARCHAR) AS range FROM placed
+)
+SELECT conv_id, '0' AS piece,
+  coalesce(string_agg(segment, '' ORDER BY turn) FILTER (WHERE part = 'prompt'), '') AS prompt,
+  coalesce(string_agg(segment, '' ORDER BY turn) FILTER (WHERE part = 'chosen'), '') AS chosen,
+  coalesce(string_agg(segment, '' ORDER BY turn) FILTER (WHERE part = 'rejected'), '') AS rejected,
+  coalesce(string_agg(range, ',' ORDER BY turn) FILTER (WHERE part = 'chosen' AND trained), '') AS chosen_mask,
+  coalesce(string_agg(range, ',' ORDER BY turn) FILTER (WHERE part = 'rejected' AND trained), '') AS rejected_mask
+FROM masked GROUP BY conv_id""",
+    # Item and document windows as joined words; a stretch of item words is found in a text by its words alone.
+    "op6_decontaminate": f"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS k FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, sizes WHERE len(w) >= n)
+), found AS (
+  SELECT p.doc_id, p.n, p.k, v.item_id FROM places p JOIN windows v ON p.gram = v.gram AND p.n = v.n
+), hits AS (
+  SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS spot FROM (SELECT DISTINCT doc_id, k, n FROM found)) GROUP BY doc_id
+), names AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)""",
+    # All pairs of documents that share a five-word n-gram, on their full sets.
+    "op4_ngram_join": f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM docs WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id) pairs
+  JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 5 * shared >= 4 * (s.n + t.n - shared)
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, least(d.doc_id, coalesce(class, d.doc_id)) AS class_id, coalesce(n, 0) AS n_links FROM docs d
+LEFT JOIN (SELECT a, min(b) AS class FROM reach GROUP BY a) r ON r.a = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = d.doc_id""",
+    # Texts with licence tags aside (the tables hold none): phrases and what their labels permit.
+    "op7_license_scan": f"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents
+), phrases(phrase, n, label, base, permits) AS (
+  VALUES ('gnu general public license', 4, 'gpl', true, 0.3), ('apache license', 2, 'apache', true, 1.0), ('cc by', 2, 'cc-by', true, 0.9), ('mit license', 2, 'mit', true, 1.0),
+    ('gnu lesser general public license', 5, 'lgpl', false, 0.5), ('gnu affero general public license', 5, 'agpl', false, 0.2), ('mozilla public license', 3, 'mpl', false, 0.6), ('bsd license', 2, 'bsd', false, 1.0),
+    ('cc by nc', 3, 'cc-by-nc', false, 0.2), ('cc by sa', 3, 'cc-by-sa', false, 0.5), ('cc by nd', 3, 'cc-by-nd', false, 0.2), ('all rights reserved', 3, 'proprietary', false, 0.0)
+), places AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM phrases) WHERE len(w) >= n)
+), found AS (
+  SELECT doc_id, k, label, base, permits FROM places p JOIN phrases q ON p.gram = q.phrase AND p.n = q.n
+), based AS (
+  SELECT doc_id, count(*) AS n_base, min(k) - 1 AS first_word, max(k) - 1 AS last_word FROM found WHERE base GROUP BY doc_id
+), named AS (
+  SELECT doc_id, string_agg(label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(label, ',' ORDER BY label) AS labels, max(permits) AS score
+  FROM (SELECT DISTINCT doc_id, label, base, permits FROM found) GROUP BY doc_id
 )
-SELECT conv_id, part, turn, role, segment, CASE WHEN trained THEN length(role) + 5 ELSE 0 END AS train_from, CASE WHEN trained THEN length(segment) ELSE 0 END AS train_to FROM rendered""",
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs d LEFT JOIN based USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    # Bytes as pairs of hex digits, cut into stretches first so that a window is found without reading a whole text.
+    "op10_suffix_dedup": """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), stretches AS (
+  SELECT doc_id, s, substr(h, 2 * s + 1, 2198) AS part FROM (SELECT doc_id, h, unnest(range(0, CAST(greatest(length(h) // 2 - 99, 0) AS BIGINT), 1000)) AS s FROM docs)
+), windows AS (
+  SELECT doc_id, s + o AS k, md5(substr(part, 2 * o + 1, 200)) AS w
+  FROM (SELECT doc_id, s, part, unnest(range(0, CAST(least(1000, length(part) // 2 - 99) AS BIGINT))) AS o FROM stretches)
+), hits AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY w ORDER BY doc_id, k) AS nth FROM windows) WHERE nth > 1
+), marked AS (
+  SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 100 THEN 0 ELSE 1 END AS fresh FROM hits
+), numbered AS (
+  SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS span FROM marked
+), spans AS (
+  SELECT doc_id, min(k) AS a, max(k) + 100 AS b FROM numbered GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT doc_id, max(b), 1000000000 FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS rest FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+), counts AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)""",
 }

@@ -59,7 +59,7 @@ def cover_runs(data: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.
     width, power = 1, BASE
     while width < kmer:  # kmer is a power of two
         h = h[:-width] * power + h[width:]
-        power = power * power
+        power = np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF)
         width *= 2
     h = (h ^ (h >> np.uint64(32))) * BASE
     least = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)  # texts are under 4 GB
