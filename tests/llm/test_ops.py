@@ -96,6 +96,9 @@ def test_empty_tables(spark):
     assert url_filters.judge_urls(pages, url_filters.page_links(pages), queries.URL_RULES).count() == 0
     turns = spark.createDataFrame([], "pair_id long, turn long, role string, text string")
     assert chat_format.format_preferences(turns, turns).count() == 0
+    assert chat_format.pair_preferences(turns, turns).count() == 0
+    model = queries.tokenizer_file("piece_bpe_32k.model")
+    assert sentencepiece_codec.encode_documents(none, model).count() == 0
 
 
 def brute_suffix(texts):
@@ -338,18 +341,112 @@ def test_identity_terms_stand_once():
     assert len(terms) == len(set(terms))
 
 
-def test_chat_format_assembled(spark):
-    schema = "pair_id long, turn long, role string, text string"
+def test_chat_format_pairs(spark, monkeypatch):
+    schema = "pair_id long, turn long, role string, text string, piece int, prompt string"
     same = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello")]
-    chosen = spark.createDataFrame([*same, (1, 2, "user", "why"), (1, 10, "assistant", "good"), (1, None, "assistant", "end"), (2, 0, "user", "a"), (None, 0, "user", "x")], schema)
-    rejected = spark.createDataFrame([*same, (1, 2, "user", "how"), (1, 3, "assistant", None), (2, 0, "user", "a"), (2, 1, "assistant", "b")], schema)
-    got = {r.pair_id: r for r in chat_format.assemble_preferences(chat_format.format_preferences(chosen, rejected)).collect()}
-    assert set(got) == {1, 2}
+    add = lambda rows: spark.createDataFrame([(*r, 1, "own") for r in rows], schema)
+    chosen = add([*same, same[0], (1, 2, "user", "why"), (1, 10, "assistant", "good"), (1, 11, "assistant", "end"), (2, 0, "user", "a"), (None, 0, "user", "x"), (3, 0, "user", "only")])
+    rejected = add([*same, (1, 2, "user", "how"), (1, 3, "assistant", None), (2, 0, "user", "a"), (2, 1, "assistant", "b")])
     say = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
-    assert got[1].prompt == say("user", "hi") + say("assistant", "hello")
-    assert got[1].chosen == say("user", "why") + say("assistant", "good") + say("assistant", "end")
-    assert got[1].rejected == say("user", "how") + say("assistant", "")
-    trained = lambda text, masks: [text[m.train_from : m.train_to] for m in masks]
-    assert trained(got[1].chosen, got[1].chosen_masks) == ["good<|end|>\n", "end<|end|>\n"]
-    assert trained(got[1].rejected, got[1].rejected_masks) == ["<|end|>\n"]
-    assert (got[2].prompt, got[2].chosen, got[2].chosen_masks, got[2].rejected) == (say("user", "a"), "", [], say("assistant", "b"))
+    trained = lambda text, mask: [text[slice(*map(int, m.split("-")))] for m in mask.split(",") if m]
+    for turns in (256, 4):
+        monkeypatch.setattr(chat_format, "PIECE_TURNS", turns)
+        rows = chat_format.pair_preferences(chosen, rejected).collect()
+        assert {r.pair_id for r in rows} == {1, 2, 3} and len(rows) == (3 if turns == 256 else 4)
+        got = {}
+        for r in sorted(rows, key=lambda r: (r.pair_id, int(r.piece))):
+            x = got.setdefault(r.pair_id, ["", "", "", [], []])
+            for k, v in enumerate((r.prompt, r.chosen, r.rejected, trained(r.chosen, r.chosen_mask), trained(r.rejected, r.rejected_mask))):
+                x[k] += v
+        assert got[1] == [say("user", "hi") + say("assistant", "hello"), say("user", "why") + say("assistant", "good") + say("assistant", "end"), say("user", "how") + say("assistant", ""), ["good<|end|>\n", "end<|end|>\n"], ["<|end|>\n"]]
+        assert got[2] == [say("user", "a"), "", say("assistant", "b"), [], ["b<|end|>\n"]]
+        assert got[3] == ["", say("user", "only"), "", [], []]
+
+
+def test_chat_format_crowded_turn(spark, monkeypatch):
+    """Many texts under one turn number are dealt to pieces, and none is lost."""
+    monkeypatch.setattr(chat_format, "PIECE_ROWS", 10)
+    schema = "pair_id long, turn long, role string, text string"
+    chosen = spark.createDataFrame([(1, None, "assistant", f"t{k}") for k in range(60)] + [(2, 0, "user", "a")], schema)
+    rows = chat_format.pair_preferences(chosen, chosen.limit(0)).where("pair_id = 1").collect()
+    assert len(rows) > 3 and len({r.piece for r in rows}) == len(rows)
+    assert sorted(m for r in rows for m in re.findall(r"t\d+", r.chosen)) == sorted(f"t{k}" for k in range(60))
+
+
+def test_ngram_join_null_and_repeated_ids(spark, monkeypatch):
+    long = " ".join(f"x{k}" for k in range(60))
+    texts = [long] * 3 + [long + f" y{k}" for k in range(4)] + [long + " y1", "other words stand in this one", None]
+    for block in (100_000, 100):
+        monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", block)
+        got = ngram_join.ngram_join(frame(spark, texts, [None] * 8 + [5, 5])).collect()
+        assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter({(None, None, 7): 8, (5, 5, 0): 2})
+
+
+def test_ngram_join_pivot_counts_are_exact(spark, monkeypatch):
+    """A component of many blocks: near copies around one text, outliers, and members far from the pivot."""
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 700)
+    r = random.Random(11)
+    base = [f"x{k}" for k in range(90)]
+    texts = []
+    for k in range(90):
+        own = list(base)
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3, 5])):
+            own[r.randrange(90)] = f"q{r.randrange(400)}"
+        texts.append(" ".join(own))
+    got = ngram_join.ngram_join(frame(spark, texts)).collect()
+    assert {x.doc_id: (x.class_id, x.n_links) for x in got} == brute_join(texts)
+
+
+def test_signatures_are_the_least_hashes():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    seeds = r.integers(0, 2**64, 7, dtype=np.uint64)
+    sets = [r.integers(0, 2**64, n, dtype=np.uint64) for n in (1, 5, 300_000, 2, 140_000, 1)]
+    want = np.array([[((s ^ k) * ngram_join.MIX).min() for k in seeds] for s in sets])
+    assert (ngram_join.signatures(sets, seeds) == want).all()
+
+
+def test_sentencepiece_whole_table(spark):
+    """Every document of sf0.01 as the library codes it, with a table that holds some of the words only."""
+    import sentencepiece
+
+    model = queries.tokenizer_file("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for rows in (300_000, 500):
+        got = sentencepiece_codec.encode_documents(docs, model, table_rows=rows).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            ids = sp.encode(texts[r.doc_id], add_bos=True, add_eos=True)
+            assert (list(r.ids), r.decoded, r.n_tokens) == (ids, sp.decode(ids), len(ids))
+            assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+
+
+def test_sentencepiece_random_texts():
+    import pyarrow as pa
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_file("piece_bpe_32k.model"))
+    r = random.Random(3)
+    texts = ["".join(r.choices(" \u2581ab\t\n\x00é日😀\u3000\u00a01Z.", k=r.randint(0, 30))) for _ in range(3000)] + [None, "", "q" * 200_000]
+    words = [b" a", b"  b", b" \x00", b" "]
+    made = sentencepiece_codec.ChunkCoder(sp).segment(words)
+    table = pa.table({"word": pa.array(words, pa.binary()), "ids": pa.array(made["ids"], pa.binary()), "decoded": pa.array(made["decoded"], pa.string())})
+    ids, cuts, decoded = sentencepiece_codec.ChunkCoder(sp, table).encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        want = sp.encode(t or "")
+        assert (ids[cuts[k] : cuts[k + 1]].tolist(), decoded[k]) == (want, sp.decode(want))
+
+
+def test_toxicity_without_usable_labels(spark):
+    docs = spark.createDataFrame([(1, "an idiot", 9), (2, "b", 9), (None, None, 9)], "doc_id long, text string, score int")
+    labels = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    for rows in ([], [(1, 1), (77, 0)], [(None, 1), (1, None), (2, 7)]):
+        got = toxicity.score_documents(docs, toxicity.train(docs, labels(rows))).collect()
+        assert [(r.score, r.predicted) for r in got] == [(0.0, 0)] * 3
+    assert toxicity.score_documents(docs.limit(0), toxicity.train(docs.limit(0), labels([]))).count() == 0
+    repeats = toxicity.train(docs.union(docs).union(docs), labels([(1, 1), (1, 1), (2, 0), (2, 0)]))
+    assert (repeats == toxicity.train(docs, labels([(2, 0), (1, 1)]))).all()
+    assert (toxicity.train(docs, labels([(2, 0), (1, 1)]), sample_bytes=1)[-1]) == -float("inf")

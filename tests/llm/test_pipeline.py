@@ -34,6 +34,24 @@ def test_repeated_ids_are_judged_row_by_row(spark):
     rows = [(1, "own text"), (1, "copied"), (2, "Copied"), (3, "twice"), (3, "twice"), (None, "copied"), (4, long), (5, near), (5, "clean text of its own"), (6, "n " + long), (6, near + " n")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     exact = P.materialise(P.drop_copies(spark, docs, SF))
-    assert sorted((r.doc_id or 0, r.text) for r in exact.collect()) == sorted([(0, "copied"), (1, "own text"), (2, "Copied"), (3, "twice"), *((i, t) for i, t in rows[6:])])
+    assert sorted((r.doc_id or 0, r.text) for r in exact.collect()) == sorted([(1, "own text"), (2, "Copied"), (3, "twice"), *((i, t) for i, t in rows[6:])])
     left = P.drop_near_copies(spark, exact, SF).collect()
-    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(0, "copied"), (1, "own text"), (2, "Copied"), (3, "twice"), (4, long), (5, rows[8][1])])
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(1, "own text"), (2, "Copied"), (3, "twice"), (4, long), (5, rows[8][1])])
+
+
+def test_three_rows_of_one_id_and_null_ids(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, "A"), (7, "A"), (7, "A"), (7, "B"), (9, "a"), (None, "only"), (None, "Only"), (None, None), (None, ""), (None, long), (None, long + " x"), (8, "x " + long)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    exact = P.materialise(P.drop_copies(spark, docs, SF))
+    got = [(r.doc_id or 0, (r.text or "").lower()) for r in exact.collect()]
+    assert sorted(got) == sorted([(7, "b"), (9, "a"), (0, "only"), (0, ""), (0, long), (0, long + " x"), (8, "x " + long)])
+    left = [(r.doc_id or 0, (r.text or "").lower()) for r in P.drop_near_copies(spark, exact, SF).collect()]
+    assert sorted(left) == sorted([(7, "b"), (9, "a"), (0, "only"), (0, ""), (8, "x " + long)])
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
