@@ -1,8 +1,9 @@
 """Corpus pipeline: toxicity, exact dedup, near dedup, decontamination, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it gets; run() writes each stage's rows to the shared
-folder and reads them back. Rows whose ids repeat are judged one by one, and one of equal or linked rows stays; a row
-with a null id is never dropped as a copy.
+folder and reads them back. Rows are judged one by one and one of equal or linked rows stays, whether ids repeat or are
+null: exact dedup keeps the largest id and the n-gram join the smallest, and a null id only where all are null. Null
+texts count as empty. Empty tables give no rows; without usable labels nothing is toxic.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def numbered(docs: DataFrame, nulls_first: bool) -> DataFrame:
-    """docs with `row`, a key in the order of doc_id: the id itself, or a number of the row where ids repeat."""
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    """docs with `row`, a key in the order of doc_id: the id itself, or a number of the row where ids repeat or are null."""
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
         return docs.withColumn("row", F.col("doc_id"))
     first = F.asc_nulls_first("doc_id") if nulls_first else F.asc_nulls_last("doc_id")
     return materialise(docs.orderBy(first, *COLUMNS[1:]).withColumn("row", F.monotonically_increasing_id()))
@@ -31,14 +32,13 @@ def numbered(docs: DataFrame, nulls_first: bool) -> DataFrame:
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs without these (distinct) rows."""
-    return docs.join(rows.withColumnRenamed("row", "gone"), (F.col("row") == F.col("gone")) & F.col("doc_id").isNotNull(), "left_anti").select(*COLUMNS)
+    return docs.join(rows.withColumnRenamed("row", "gone"), F.col("row") == F.col("gone"), "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier predicts toxic go."""
     weights = train(docs, table(spark, sf_dir, "labels"))
-    carried = ["doc_id", "text", "lang", "source", "n_chars"]
-    return score_documents(docs, weights, carry=carried).where("predicted = 0").select(*COLUMNS)
+    return score_documents(docs, weights, carry=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
