@@ -1,10 +1,12 @@
 """HTML extraction by consensus host paths.
 
 Pass one scores each page's containers: the characters of paragraph-like blocks, less those in links, count
-for the container that holds them and half for the one around it. The best container casts its page's vote for
-its path, tags and classes from the root with digits generalised, in its host's count. The host's winner is the
-path with most votes. Pass two re-extracts every page: the elements on the winning path, in page order; a page
-without text in such an element gives its own best container, one without any container its whole body.
+for the container that holds them and half for the one around it. From the best container the choice moves up to an
+ancestor while that holds at least SHARE as much text again outside of it, so that a text in several containers is one;
+it leaves <main> never, and <article> only for other articles. The choice casts its page's vote for its path, tags and
+classes from the root with digits generalised, in its host's count; a path is known by a 64-bit key. The host's winner is
+the path with most votes. Pass two re-extracts every page: the elements on the winning path, in page order; a page
+without text in such an element gives its own choice, one without any container its whole body.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out,
 by tag or by class, id and role words: a class, id or role says so if it consists of such words and layout words
@@ -13,11 +15,13 @@ by tag or by class, id and role words: a class, id or role says so if it consist
 all of its text is a wrapper, whatever its words. Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one space.
 
-Winners that differ from the overall one travel with the tasks while they are at most BROADCAST_HOSTS; beyond
-that pages are joined with their host's winner, hot hosts apart.
+Winners that differ from the overall one travel with the tasks while they are at most BROADCAST_HOSTS of at most
+BROADCAST_BYTES in all; beyond that pages are joined with their host's winner, hot hosts apart.
+
+Time and memory of a page grow with its length, however its tags are nested, but for nested articles.
 
 Edge cases: a null url counts as host ""; null or empty html gives an empty text; unclosed tags and cut-off
-pages are closed at their end; ties in a vote go to the path that is smallest as a string; pages that repeat are extracted (and
+pages are closed at their end; ties in a vote go to the path of the smallest key; pages that repeat are extracted (and
 vote) one by one. An empty table gives no rows. Other columns are not read.
 """
 
@@ -28,13 +32,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import join_groups, materialise, rows_out
 from tessera.llm.url_filters import host_and_path
 
-BROADCAST_HOSTS = 50_000
+BROADCAST_HOSTS, BROADCAST_BYTES = 50_000, 4 << 20
+#: Text outside the choice, as a share of its own, for which it moves up.
+SHARE = 0.3
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "xmp", "iframe")}
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -58,15 +65,61 @@ WORD = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
 
 
+def path_key(path: str) -> int:
+    """Key of a path such as "/body/div.main"."""
+    key = 0
+    for step in path.split("/")[1:]:
+        key = step_key(key, step)
+    return key
+
+
+def step_key(key: int, step: str) -> int:
+    return xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True) + step.encode("utf-8", "replace")) - 2**63
+
+
 class Element:
-    __slots__ = ("tag", "path", "skip", "said", "parent", "linked", "score", "serial")
+    __slots__ = ("tag", "key", "skip", "said", "parent", "linked", "score", "serial", "container", "marked")
 
-    def __init__(self, tag: str, path: str, skip: bool, said: set[str], parent: Element | None, serial: int):
-        self.tag, self.path, self.skip, self.said, self.parent, self.serial = tag, path, skip, said, parent, serial
+    def __init__(self, tag: str, step: str, skip: bool, said: set[str], parent: Element | None, serial: int):
+        self.tag, self.skip, self.said, self.parent, self.serial = tag, skip, said, parent, serial
+        self.key = step_key(parent.key, step) if parent is not None else 0
         self.linked = tag == "a" or parent is not None and parent.linked
+        self.container = self if parent is None or tag in BLOCKS and tag not in PARAGRAPHS else parent.container
+        self.marked = tag in ("main", "article") or parent is not None and parent.marked
         self.score = 0.0
 
 
+class Stack(list):
+    """Open elements, and where in it each tag, each block and each container stands."""
+
+    def __init__(self, root: Element):
+        super().__init__([root])
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.containers: list[int] = []
+
+    def open(self, element: Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self))
+        if element.tag in BLOCKS:
+            self.blocks.append(len(self))
+            if element.tag not in PARAGRAPHS:
+                self.containers.append(len(self))
+        self.append(element)
+
+    def close(self, at: int) -> None:
+        """Close the element at this place and all within."""
+        while len(self) > at:
+            tag = self.pop().tag
+            self.places[tag].pop()
+            for places in (self.blocks, self.containers):
+                if places and places[-1] == len(self):
+                    places.pop()
+
+    def last(self, tags: frozenset[str] | set[str] | tuple[str, ...]) -> int:
+        """Place of the innermost open element of these tags; 0 without one."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
 def skipped_words(token: str, slug: bool) -> set[str]:
     """Words for which an element of this class, role or (slug) id is left out."""
     parts = WORD.findall(token)
@@ -87,7 +140,7 @@ def _attributes(tag: str, raw: str) -> tuple[str, set[str]]:
             for token in value.lower().split():
                 said |= skipped_words(token, name == "id")
         if name == "class" and not classes:
-            classes = "".join("." + DIGITS.sub("#", c) for c in sorted(set(value.lower().split())))
+            classes = "".join("." + DIGITS.sub("#", c).replace("/", "|") for c in sorted(set(value.lower().split())))
     return classes, said
 
 
@@ -110,20 +163,19 @@ def keep_wrappers(events: list[tuple[Element, str]], elements: list[Element]) ->
                         break
         inner = {e.serial: 0 for e in top if e.serial in held or not e.said & PASSING_WORDS}
         outer = articles = 0
+        owner: dict[int, int | None] = {0: None}  # the wrapper that an element's text counts for; parents come first
+        for e in elements if inner else ():
+            passed_on = e.tag not in SKIPPED and not e.said & PASSING_WORDS
+            owner[e.serial] = e.serial if e.serial in inner else owner[e.parent.serial] if passed_on else None
         for element, text in events if inner else ():
             n = 0 if element.linked or text == "\x00" else len("".join(text.split()))
             if not n:
                 continue
             if not element.skip:
                 outer += n
-                articles += any(e.tag in ("main", "article") for e in (element, *above(element)))
-                continue
-            for e in (element, *above(element)):
-                if e.serial in inner:
-                    inner[e.serial] += n
-                elif e.tag not in SKIPPED and not e.said & PASSING_WORDS:
-                    continue
-                break
+                articles += element.marked
+            elif (wrapper := owner[element.serial]) is not None:
+                inner[wrapper] += n
         kept = False
         for e in top:
             n, tags = inner.get(e.serial, 0), held.get(e.serial, ())
@@ -135,9 +187,9 @@ def keep_wrappers(events: list[tuple[Element, str]], elements: list[Element]) ->
             e.skip = e.parent.skip or e.tag in SKIPPED or bool(e.said) and e.tag not in NEVER_SKIPPED
 
 
-def parse(page: str) -> list[tuple[Element, str]]:
-    """(innermost element, text) in page order; a block's border is (element, "\\x00")."""
-    stack = [Element("", "", False, set(), None, 0)]
+def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
+    """(innermost element, text) in page order, where a block's border is (element, "\\x00"); all elements."""
+    stack = Stack(Element("", "", False, set(), None, 0))
     events: list[tuple[Element, str]] = []
     elements: list[Element] = []
     at = serial = 0
@@ -157,93 +209,88 @@ def parse(page: str) -> list[tuple[Element, str]]:
         if tag in BLOCKS:
             events.append((stack[-1], "\x00"))
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCKS and stack[k].tag in BLOCKS and stack[k].tag not in PARAGRAPHS:
-                    break  # a stray inline end tag closes no container
+            k = stack.last((tag,))
+            if k and (tag in BLOCKS or not stack.containers or k > stack.containers[-1]):  # a stray inline end tag closes no container
+                stack.close(k)
             continue
         if tag in VOID:
             continue
-        if tag in BLOCKS:  # a paragraph ends where a block starts
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
-        for k in range(len(stack) - 1, 0, -1) if tag in CLOSES else ():
-            if stack[k].tag in CLOSES[tag]:
-                del stack[k:]
-                break
-            if stack[k].tag in FENCES:
-                break
+        if tag in BLOCKS and stack.blocks and stack[stack.blocks[-1]].tag == "p":  # a paragraph ends where a block starts
+            stack.close(stack.blocks[-1])
+        if tag in CLOSES and (k := stack.last(CLOSES[tag])) > stack.last(FENCES):
+            stack.close(k)
         parent = stack[-1]
         classes, said = _attributes(tag, m[3]) if m[3] else ("", set())
         skip = parent.skip or tag in SKIPPED or bool(said) and tag not in NEVER_SKIPPED
         serial += 1
-        element = Element(tag, f"{parent.path}/{tag}{classes}", skip, said, parent, serial)
+        element = Element(tag, tag + classes, skip, said, parent, serial)
         elements.append(element)
         if tag in RAW:
             end = RAW[tag].search(page, at)
             at = end.start() if end else len(page)
         if not (m[3] or "").endswith("/") or tag in BLOCKS:
-            stack.append(element)
+            stack.open(element)
     keep_wrappers(events, elements)
-    return events
+    return events, elements
 
 
-def best_container(page: str) -> str | None:
-    """Path of the container with the highest score; of equal ones the first."""
+def choice(events: list[tuple[Element, str]], elements: list[Element]) -> int | None:
+    """Path key of the container with the highest score (of equal ones the first), or of the ancestor that it moves up to."""
     best: dict[int, Element] = {}
-    for element, text in parse(page):
+    inside = [0] * (len(elements) + 1)  # unlinked text of each element, and of that what stands in articles
+    marked = [0] * (len(elements) + 1)
+    for element, text in events:
         n = 0 if element.skip or element.linked or text == "\x00" else len(text) - text.count(" ")
         if not n:
             continue
-        while element.tag and (element.tag not in BLOCKS or element.tag in PARAGRAPHS):
-            element = element.parent
-        if element.tag:
-            element.score += n
-            best[element.serial] = element
-            around = element.parent
+        inside[element.serial] += n
+        marked[element.serial] += n * element.marked
+        container = element.container
+        if container.tag:
+            container.score += n
+            best[container.serial] = container
+            around = container.parent
             if around is not None and around.tag:
                 around.score += n / 2
                 best[around.serial] = around
     if not best:
         return None
-    return max(best.values(), key=lambda e: (e.score, -e.serial)).path
+    for e in reversed(elements):  # children come last
+        inside[e.parent.serial] += inside[e.serial]
+        marked[e.parent.serial] += marked[e.serial]
+    found = upper = max(best.values(), key=lambda e: (e.score, -e.serial))
+    while found.tag != "main" and (upper := upper.parent) is not None and upper.tag:
+        held = marked if found.marked else inside
+        if held[upper.serial] - held[found.serial] >= SHARE * held[found.serial]:
+            found = upper
+        if upper.tag == "main":
+            break
+    return found.key
+
+
+def best_container(page: str) -> int | None:
+    return choice(*parse(page))
 
 
-def extract(page: str | None, path: str | None) -> str:
-    """Main text: the elements on the path if they hold any, else the page's best container, else the body."""
+def extract(page: str | None, path: str | int | None) -> str:
+    """Main text: the elements on the path (or of its key) if they hold any, else the page's own choice, else the body."""
     if not page:
         return ""
-    events = parse(page)
-
-    def text(inside: str | None) -> tuple[bool, str]:
-        known: dict[int, bool] = {0: inside is None}
-        pieces: list[str] = []
-        seen = False
-        for element, piece in events:
-            chain = []
-            e = element
-            while e.serial not in known:
-                chain.append(e)
-                e = e.parent
-            state = known[e.serial]
-            for e in reversed(chain):
-                state = known[e.serial] = state or e.path == inside
-            if state and not element.skip:
-                pieces.append(piece)
-                seen = seen or not piece.isspace() and piece != "\x00"
+    events, elements = parse(page)
+
+    def text(inside: int | None) -> tuple[bool, str]:
+        known = [inside is None] * (len(elements) + 1)
+        for e in elements if inside is not None else ():
+            known[e.serial] = known[e.parent.serial] or e.key == inside
+        pieces = [piece for element, piece in events if not element.skip and known[element.serial]]
+        seen = any(not piece.isspace() and piece != "\x00" for piece in pieces)
         return seen, " ".join(w for block in "".join(pieces).split("\x00") for w in block.split())
 
-    if path:
-        seen, out = text(path)
+    if path is not None:
+        seen, out = text(path_key(path) if isinstance(path, str) else path)
         if seen:
             return out
-    return text(best_container(page))[1]
+    return text(choice(events, elements))[1]
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -253,9 +300,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = [best_container(page.as_py() or "") for page in batch.column("html")]
-            yield rows_out({"host": (batch.column("host").to_pylist(), pa.string()), "path": (paths, pa.string())})
+            yield rows_out({"host": (batch.column("host").to_pylist(), pa.string()), "path": (paths, pa.int64())})
 
-    ballots = rows.select("host", "html").mapInArrow(vote, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    ballots = rows.select("host", "html").mapInArrow(vote, "host string, path long").groupBy("host", "path").agg(F.count("*").alias("votes"))
     ballots = materialise(ballots)
     winners = ballots.where("path IS NOT NULL").groupBy("host").agg(F.max("votes").alias("votes"))
     winners = ballots.where("path IS NOT NULL").join(winners, ["host", "votes"]).groupBy("host").agg(F.min("path").alias("path"))
@@ -264,18 +311,19 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     overall = winners.groupBy("path").agg(F.sum("pages").alias("n")).orderBy(F.desc("n"), "path").first()
     common = overall["path"] if overall else None
     unlike = winners.where(F.col("path") != F.lit(common))
-    exceptions = {r["host"]: r["path"] for r in unlike.select("host", "path").limit(BROADCAST_HOSTS + 1).collect()}
-    if len(exceptions) <= BROADCAST_HOSTS:
-        placed = rows.withColumn("path", F.lit(None).cast("string"))
+    n, size = unlike.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("host")), F.lit(0))).first()
+    exceptions = {}
+    if n <= BROADCAST_HOSTS and size <= BROADCAST_BYTES:
+        exceptions = {r["host"]: r["path"] for r in unlike.select("host", "path").collect()}
+        placed = rows.withColumn("path", F.lit(None).cast("long"))
     else:
-        exceptions = {}
         placed = join_groups(rows, winners, "host", "pages", F.col("id").cast("string"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, urls, texts = batch.column("id"), batch.column("url"), []
             for page, host, path in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-                texts.append(extract(page.as_py(), path or exceptions.get(host, common)))
+                texts.append(extract(page.as_py(), exceptions.get(host, common) if path is None else path))
             n = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), n], ["id", "url", "text", "n_chars"])
 
