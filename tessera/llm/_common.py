@@ -115,9 +115,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     total = (groups.agg(F.sum(size)).first()[0] or 0) if total is None else total
     limit = max(HOT_KEYS, total // HOT_KEYS)
     own = [c for c in groups.columns if c != key]
-    hot = groups.where(F.col(size) > limit).select(F.col(key).alias("hot_key"), F.struct(*own).alias("hot_row"))
-    cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("cold_key"), F.struct(*own).alias("cold_row"))
-    first = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
-    first = first.withColumn("route", F.when(F.col("hot_key").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("s"), F.coalesce(spread, F.monotonically_increasing_id().cast("string")))))
-    out = first.join(cold.withColumn("cold_key", F.concat(F.lit("k"), F.col("cold_key").cast("string"))), F.col("route") == F.col("cold_key"), "left")
-    return out.select(*rows.columns, *(F.coalesce(F.col(f"hot_row.{c}"), F.col(f"cold_row.{c}")).alias(c) for c in own))
+    hot = groups.where(F.col(size) > limit).select(F.col(key).alias("_hot_key"), F.struct(*own).alias("_hot_row"))
+    cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("_cold_key"), F.struct(*own).alias("_cold_row"))
+    first = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    first = first.withColumn("_route", F.when(F.col("_hot_key").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("s"), F.coalesce(spread, F.monotonically_increasing_id().cast("string")))))
+    out = first.join(cold.withColumn("_cold_key", F.concat(F.lit("k"), F.col("_cold_key").cast("string"))), F.col("_route") == F.col("_cold_key"), "left")
+    return out.select(*rows.columns, *(F.coalesce(F.col(f"_hot_row.{c}"), F.col(f"_cold_row.{c}")).alias(c) for c in own))

@@ -7,7 +7,8 @@ distributed star contraction); an explicit allow rule on any member decides allo
 member decides block, else allow. A url's own rule always stands before its aliases'.
 
 Edge cases: a null url, or one without "://", has empty host and path and no alias; it is allowed. Edges with
-a null or empty end are ignored. Repeated pages are judged one by one. An empty table gives no rows.
+a null or empty end are ignored. Repeated pages are judged one by one, and all their links count. Input columns named host,
+path, rule or verdict give way to the operator's; other columns come along. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import ascii_lower, materialise
+from tessera.llm._common import ascii_lower, join_groups, materialise
 from tessera.llm.components import connected_components
 
 #: (verdict, rule); judged as literal expressions, so the list is bounded.
@@ -135,6 +136,9 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     found = pages.select(F.col(url_col).alias("source_url"), F.col(html_col).alias("html")).where("source_url IS NOT NULL")
     found = found.where(F.contains(F.lower("html"), F.lit("canonical")) | F.contains(F.lower("html"), F.lit("http-equiv")))
     found = found.select("source_url", F.regexp_extract_all(F.regexp_replace("html", UNREAD, ""), F.lit(LINK_TAG), F.lit(0)).alias("tags"))
+    found = materialise(found.where(F.size("tags") > 0), pages=F.count("*"))
+    if not found.seen_on_the_way["pages"]:
+        return found.select("source_url", F.lit(None).cast("string").alias("target_url"))
     based = F.get(F.filter("tags", lambda t: F.rlike(t, F.lit(r"(?is)^<base\b.*\shref\s*="))), F.lit(0))
     found = found.select("source_url", based.alias("based"), F.explode("tags").alias("tag"))
     raw = F.array(*(attribute(F.col("tag"), n) for n in ("rel", "href", "http-equiv", "content")), attribute(F.col("based"), "href"))
@@ -152,16 +156,20 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def judge_urls(urls: DataFrame, links: DataFrame, rules: Rules, url_col: str = "url") -> DataFrame:
     """`urls` with host, path, rule and verdict added. links: source_url, target_url."""
     host, path = host_and_path(F.col(url_col))
-    judged = urls.withColumns({"host": host, "path": path}).withColumn("own", matching_rule(F.col("host"), F.col("path"), rules))
-    ends = materialise(links.select(alias_key(F.col("source_url")).alias("a"), alias_key(F.col("target_url")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
-    verdict = F.coalesce("own.verdict", F.lit("allow"))
-    if not ends.isEmpty():
+    judged = urls.withColumns({"host": host, "path": path}).withColumn("_own", matching_rule(F.col("host"), F.col("path"), rules))
+    ends = materialise(links.select(alias_key(F.col("source_url")).alias("a"), alias_key(F.col("target_url")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), edges=F.count("*"))
+    verdict = F.coalesce("_own.verdict", F.lit("allow"))
+    if ends.seen_on_the_way["edges"]:
         nodes = connected_components(ends, "a", "b")
         slash = F.concat(F.lit("x://"), F.col("node"))
         of_node = matching_rule(*host_and_path(slash), rules)["verdict"]
         nodes = materialise(nodes.withColumn("said", of_node))
-        decided = nodes.where("said IS NOT NULL").groupBy("component").agg(F.min("said").alias("carried"))  # "allow" < "block"
-        carried = nodes.join(decided, "component").select("node", "carried")
-        judged = judged.withColumn("key", alias_key(F.col(url_col))).join(carried, F.col("key") == F.col("node"), "left").drop("key", "node")
-        verdict = F.coalesce("own.verdict", "carried", F.lit("allow"))
-    return judged.select(*(F.col(c) for c in urls.columns if c not in {"host", "path", "rule", "verdict"}), "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))
+        decided = materialise(nodes.groupBy("component").agg(F.min("said").alias("carried"), F.count("*").alias("n")))  # "allow" < "block"
+        carried = join_groups(nodes, decided, "component", "n", F.col("node")).where("carried IS NOT NULL").select("node", "carried")
+        judged = judged.withColumn("_key", alias_key(F.col(url_col)))
+        pages = judged.where("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias("_pages"))
+        carried = materialise(carried.join(pages, F.col("node") == F.col("_key")).select("_key", F.col("carried").alias("_carried"), "_pages"))
+        # rows without a url have no key, and one url may stand on a third of all rows
+        judged = join_groups(judged, carried, "_key", "_pages", F.monotonically_increasing_id().cast("string"))
+        verdict = F.coalesce("_own.verdict", "_carried", F.lit("allow"))
+    return judged.select(*(F.col(c) for c in urls.columns if c not in {"host", "path", "rule", "verdict"}), "host", "path", F.col("_own.rule").alias("rule"), verdict.alias("verdict"))
