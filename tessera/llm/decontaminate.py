@@ -166,7 +166,8 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", clean: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each row's id, n_words, spans (pairs of int32 word places, ends excluded), items, n_hit, n_items, items_sha256.
 
-    With clean=True all columns of docs come too, and clean_text, the text without its spans.
+    With clean=True all other columns of docs come too, and clean_text, the text without its spans; input columns with
+    the name of one of these give way to it.
     """
     rows = docs.select(*(docs.columns if clean else [F.col(id_col), F.col(text_col)]))
     clash = {"n_words", "spans", "items", "n_hit", "n_items", "items_sha256", "clean_text"} & set(rows.columns)

@@ -1,9 +1,10 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
-Each level keeps only groups of two or more. What survives a level is passed on as a fixed-size bitmap of
-key hashes (2 ** FILTER_BITS bits, broadcast), so a later scan hashes content only of surviving rows and no
-text is ever shuffled. A false hit of the bitmap costs a needless hash and changes no result; a row that can
-have an equal always passes.
+Each level keeps only groups of two or more. What survives a level is passed on as a bitmap of key hashes (broadcast), so
+a later scan hashes content only of surviving rows and no text is ever shuffled. The bitmap has 8 bits for each key
+that repeats, from 2 ** MIN_BITS to 2 ** MAX_BITS bits (32 MB) in all. A false hit costs a needless hash and changes no
+result, also where keys are so many that most bits of the largest bitmap are set; a row that can have an equal always
+passes.
 
 Edge cases: null text counts as empty; empty texts equal each other; a null id is a defined row of its group
 (the largest non-null id stays; with null ids only, they stay); rows that repeat an id and a text are counted
@@ -16,28 +17,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import ascii_lower, join_groups, materialise
+from tessera.llm._common import ascii_lower, drop, join_groups, materialise
 
-FILTER_BITS = 23
+MIN_BITS, MAX_BITS = 20, 28
 PREFIX_CHARS = 256
 #: Bits of one row of bitmap_construct_agg.
 ROW_BITS = 32768
 
 
-def _place(key: Column) -> tuple[Column, Column]:
-    at = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+def _place(key: Column, bits: int) -> tuple[Column, Column]:
+    at = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     return F.floor(at / ROW_BITS).cast("int"), F.pmod(at, F.lit(ROW_BITS)).cast("int")
 
 
-def _survivors(keys: DataFrame, key: str) -> DataFrame:
-    """Bitmap of the keys that two or more rows have: at most 2 ** FILTER_BITS / ROW_BITS rows of 4 KB."""
-    bucket, bit = _place(F.col(key))
-    repeated = keys.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    return repeated.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+def _survivors(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Bitmap of the keys that two or more rows have, at most 2 ** MAX_BITS / ROW_BITS rows of 4 KB, and its bits as a power of 2."""
+    repeated = materialise(keys.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), found=F.count("*"))
+    bits = min(max(MIN_BITS, (8 * repeated.seen_on_the_way["found"]).bit_length()), MAX_BITS)
+    bucket, bit = _place(F.col(key), bits)
+    bitmap = materialise(repeated.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    drop(repeated)
+    return bitmap, bits
 
 
-def _with_hit(rows: DataFrame, bitmap: DataFrame, key: str, name: str) -> DataFrame:
-    bucket, bit = _place(F.col(key))
+def _with_hit(rows: DataFrame, survivors: tuple[DataFrame, int], key: str, name: str) -> DataFrame:
+    bitmap, bits = survivors
+    bucket, bit = _place(F.col(key), bits)
     out = rows.withColumns({"at_bucket": bucket, "at_bit": bit}).join(F.broadcast(bitmap), F.col("at_bucket") == F.col("bucket"), "left")
     byte = F.conv(F.hex(F.substring("bits", F.expr("at_bit div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.expr("bits IS NOT NULL") & (F.expr("1").cast("int") == F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(F.col("at_bit"), F.lit(8)))).cast("int"), F.lit(2))), F.lit(False))
@@ -53,11 +58,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     by_length = base.select(F.coalesce(F.octet_length("text"), F.lit(0)).alias("length"))
-    lengths = materialise(_survivors(by_length, "length"))
+    lengths = _survivors(by_length, "length")
 
     sized = base.withColumn("length", F.coalesce(F.octet_length("text"), F.lit(0)))
     prefixed = _with_hit(sized, lengths, "length", "same_length").withColumn("prefix", F.when(F.col("same_length"), F.xxhash64("length", F.substring(text, 1, PREFIX_CHARS))))
-    prefixes = materialise(_survivors(prefixed.where("same_length").select("prefix"), "prefix"))
+    prefixes = _survivors(prefixed.where("same_length").select("prefix"), "prefix")
 
     rows = _with_hit(prefixed, prefixes, "prefix", "same_prefix").withColumn("compared", F.col("same_length") & F.col("same_prefix"))
     rows = materialise(rows.select("id", "compared", F.when(F.col("compared") | F.lit(digest_all), F.sha2(text, 256)).alias("digest")))
