@@ -40,7 +40,7 @@ MARK = "▁"
 #: Rows of the table, and bytes of its longest word.
 TABLE_ROWS, LONG_CHUNK = 300_000, 48
 #: Text counted at a time, and text coded at a time; a longer one alone.
-FLUSH_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
+FLUSH_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
 #: Steps of a level of counts: each level doubles LEVELS times as slowly as the count.
 LEVELS = 8
 PROBES = ("", " ", "a", " a", "a  b ", "a\tb\n c", "　x", "ﬁ é é", "a▁b", "\x00", " a")
