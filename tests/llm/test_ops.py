@@ -450,3 +450,111 @@ def test_toxicity_without_usable_labels(spark):
     repeats = toxicity.train(docs.union(docs).union(docs), labels([(1, 1), (1, 1), (2, 0), (2, 0)]))
     assert (repeats == toxicity.train(docs, labels([(2, 0), (1, 1)]))).all()
     assert (toxicity.train(docs, labels([(2, 0), (1, 1)]), sample_bytes=1)[-1]) == -float("inf")
+
+
+@pytest.mark.parametrize(
+    "line, score, labels",
+    [
+        ("MIT OR GPL-3.0-only AND AGPL-3.0", 1.0, "agpl-3.0,gpl-3.0-only,mit"),  # "and" binds tighter than "or"
+        ("(MIT OR GPL-3.0-only) AND AGPL-3.0", 0.2, "agpl-3.0,gpl-3.0-only,mit"),
+        ("MIT and (BSD-3-Clause or LGPL-2.1+)", 1.0, "bsd-3-clause,lgpl-2.1+,mit"),
+        ("GPL-2.0 WITH Classpath-exception-2.0", 0.65, "gpl-2.0"),  # the exception is no licence
+        ("MIT AND GPL-2.0 WITH GCC-exception-3.1", 0.65, "gpl-2.0,mit"),
+        ("((MPL-2.0))", 0.6, "mpl-2.0"),
+        ("MIT OR", 1.0, "mit"),
+        ("MIT AND (GPL-2.0", 0.3, "gpl-2.0,mit"),
+        ("GPL-2.0) OR MIT", 0.3, "gpl-2.0,mit"),
+        (") MIT", 0.0, ""),
+        ("OR MIT", 0.0, ""),
+        ("Nobody-Knows-1.0", 0.1, "nobody-knows-1.0"),
+        ("MIT GPL-2.0 is not read", 1.0, "mit"),
+        ("", 0.0, ""),
+        ("MIT\nOR GPL-2.0", 1.0, "mit"),  # an expression ends with its line
+    ],
+)
+def test_license_expressions(line, score, labels):
+    for tag in ("SPDX-License-Identifier:", "license-expression:"):
+        got = license_scan.scan_text(f"# {tag} {line}", *license_scan.scanners())
+        assert (round(got["score"], 9), got["labels"], got["n_base"]) == (score, labels, 0)
+
+
+def test_license_scan_of_a_very_long_text():
+    text = "mit license " + "word " * 300_000 + "CC BY"
+    got = license_scan.scan_text(text, *license_scan.scanners())
+    assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"], got["labels"]) == (300_004, 2, 0, 300_002, "cc-by,mit")
+
+
+def test_html_extract_whole_table(spark):
+    """Every page of sf0.01 against a strip of its <article> by plain string work."""
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in html_extract.extract_pages(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        inner = re.search(r"<article[^>]*>(.*)</article>", r.html, re.S)[1]
+        inner = re.sub(r'(?s)<!--.*?-->|<script.*?</script>|<div class="ad">.*?</div>', "", inner)
+        inner = re.sub(r"</?(?:p|h\d|div|br|li|ul|ol|blockquote|pre)\b[^>]*>", "\n", inner)
+        want = " ".join(html.unescape(re.sub(r"<[^>]+>", "", inner)).split())
+        assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (want, len(want), r.url)
+
+
+def test_html_extract_generated_templates(spark):
+    """Hosts with templates of their own: one or more containers, notices, menus; the text is what was put in."""
+    r = random.Random(4)
+    say = lambda n: [" ".join(r.choice("abcdefgh") * r.randint(1, 6) for _ in range(r.randint(5, 30))) for _ in range(n)]
+    block = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    pages, want = [], {}
+    templates = [
+        lambda k, t: f"<nav>menu</nav><div class='post-{k}'>{block(t)}</div><aside>side</aside>",
+        lambda k, t: f"<div class=wrap><div class=a>{block(t[:2])}</div><div class=menu>m m m</div><div class=b>{block(t[2:])}</div></div><footer>f</footer>",
+        lambda k, t: f"<main><section><h2>{t[0]}</h2>{block(t[1:2])}</section><section>{block(t[2:])}</section></main><div class=related><p>{'x ' * 200}</div>",
+        lambda k, t: f"<article>{block(t[:3])}</article><article>{block(t[3:])}</article><div id=comments><article>{'y ' * 300}</article></div>",
+        lambda k, t: f"<table><tr><td><div>{block(t)}</div><td class=sidebar>{'z ' * 90}</table>",
+    ]
+    for k in range(100):
+        t = say(4)
+        host = k % len(templates)
+        pages.append((k, f"http://h{host}.example/{k}", f"<html><body><header>h</header>{templates[host](k, t)}</body></html>", "own", 1))
+        want[k] = " ".join(t)
+    got = html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string, path string, host int")).collect()
+    assert {x.page_id: x.text for x in got} == want
+
+
+def test_html_extract_deep_nesting_stays_small():
+    import tracemalloc
+
+    for page in ("<div>" * 20_000 + "x", "<p>" + "<span>t" * 8000 + "</b>" * 8000, "<b><div>" + "<span>" * 8000 + "</b>x" * 8000):
+        tracemalloc.start()
+        html_extract.extract(page, None)
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+        tracemalloc.stop()
+
+
+def test_html_extract_ties_in_the_vote(spark):
+    pages = [(k, "http://h/", f"<div class={c}><p>one</div><div class=other><a href=x>links only</a></div>") for k, c in enumerate("aabb")]
+    got = html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"one"}
+
+
+def test_columns_with_clashing_names(spark):
+    urls = spark.createDataFrame([(1, "http://b.org/x", "k", "o", 7, "v"), (2, None, "k", "o", 7, "v"), (2, None, "k", "o", 7, "v")], "page_id long, url string, key string, own string, route int, verdict string")
+    links = spark.createDataFrame([("http://b.org/x", "http://a.com/en/1")], "source_url string, target_url string")
+    got = url_filters.judge_urls(urls, links, queries.URL_RULES).collect()
+    assert sorted((r.page_id, r.verdict, r.key, r.own, r.route) for r in got) == [(1, "block", "k", "o", 7), (2, "allow", "k", "o", 7), (2, "allow", "k", "o", 7)]
+    docs = spark.createDataFrame([(1, "one two", "mine", 5)], "doc_id long, text string, items string, kept int")
+    bench = spark.createDataFrame([(4, "two")], "item_id long, text string")
+    (row,) = decontaminate.decontaminate(docs, bench, clean=True).collect()
+    assert (row.clean_text.strip(), row["items"], row.kept) == ("one", "4", 5)
+
+
+def test_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessera.llm import _common
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    jvm = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _common.shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", getConf=lambda: conf, _jsc=jvm)))
