@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -83,9 +86,19 @@ def drop(*written: DataFrame) -> None:
         store.delete(path, True)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow of a function from record batches to record batches."""
-    return df.mapInArrow(fn, schema)
+def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """fn for mapInArrow that gives freed memory back when its task ends, as Python workers serve many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only this C library has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
 
 
 def rows_out(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:

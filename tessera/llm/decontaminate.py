@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WORD, materialise, sliced, words
+from tessera.llm._common import WORD, materialise, released, sliced, words
 from tessera.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -123,6 +123,7 @@ def _unpack(spans: bytes | None) -> list[tuple[int, int]]:
 def _one_pass(rows: DataFrame, block: list[tuple[int, str]], text_col: str, last: bool) -> DataFrame:
     """Add the block's spans and items to each row's; in the last pass n_hit and the digest columns, and the cut text."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(block)
         for batch in sliced(batches, text_col, SHARD_BYTES):

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import join_groups, materialise, rows_out
+from tessera.llm._common import join_groups, materialise, released, rows_out
 from tessera.llm.url_filters import host_and_path
 
 BROADCAST_HOSTS, BROADCAST_BYTES = 50_000, 4 << 20
@@ -297,6 +297,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(id, url, text, n_chars) of every page."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(host_and_path(F.col(url_col))[0], F.lit("")).alias("host"))
 
+    @released
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = [best_container(page.as_py() or "") for page in batch.column("html")]
@@ -319,6 +320,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     else:
         placed = join_groups(rows, winners, "host", "pages", F.col("id").cast("string"))
 
+    @released
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, urls, texts = batch.column("id"), batch.column("url"), []

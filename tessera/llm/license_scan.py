@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WORD, rows_out
+from tessera.llm._common import WORD, released, rows_out
 
 #: Notice phrases (words) and their labels: fixed values of the query's contract.
 PHRASES = {
@@ -179,6 +179,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row."""
     kinds = {"id": pa.int64(), "n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases, tags = scanners()
         for batch in batches:

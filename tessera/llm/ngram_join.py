@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import drop, join_groups, materialise, rows_out, sliced, words
+from tessera.llm._common import drop, join_groups, materialise, released, rows_out, sliced, words
 from tessera.llm.components import connected_components
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
@@ -104,6 +104,7 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """docs: id, tie, text. id, tie, node (digest of the n-gram set; null without words), grams (their number), bands (hashes)."""
     seeds = np.random.default_rng(7).integers(0, 2**64, bands * rows, dtype=np.uint64)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHash()
         for batch in sliced(batches, "text", BATCH_BYTES):
@@ -248,6 +249,7 @@ def _with_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
 def _with_grams(rows: DataFrame, n: int) -> DataFrame:
     """The n-gram set in place of the text."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHash()
         for batch in sliced(batches, "text", BATCH_BYTES):
@@ -263,6 +265,7 @@ def _pivots(large: DataFrame, n: int) -> DataFrame:
     """(part, set): the majority set of a sample of about BLOCK_GRAMS n-grams of each part, and always of its first node."""
     sample = large.where((F.col("node") == F.col("part")) | (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30) < BLOCK_GRAMS / F.col("total")))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
 
@@ -291,6 +294,7 @@ def _binned(large: DataFrame, pivots: DataFrame, n: int, similarity: float) -> D
     parts = large.select("part", blocks.alias("blocks")).distinct()
     copies = pivots.join(parts, "part").select(F.lit(None).cast("string").alias("node"), "part", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("grams"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "set")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = np.zeros(0, np.uint64)
         for batch in batches:
@@ -347,6 +351,7 @@ def _judge(placed: DataFrame, similarity: float) -> DataFrame:
         links, forest = block_links([np.frombuffer(g, np.uint64) for g in grams], np.array(copies, np.int64), np.array(sides), similarity, settled)
         return [(x, int(k), None) for x, k in zip(nodes, links) if k] + [(nodes[a], None, nodes[b]) for a, b in forest]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, out = None, ([], [], [], [], []), []
         for batch in batches:

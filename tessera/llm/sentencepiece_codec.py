@@ -34,13 +34,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import drop, materialise, rows_out, sliced
+from tessera.llm._common import drop, materialise, released, rows_out, sliced
 
 MARK = "▁"
 #: Rows of the table, and bytes of its longest word.
-TABLE_ROWS, LONG_CHUNK = 300_000, 48
+TABLE_ROWS, LONG_CHUNK = 200_000, 48
 #: Text counted at a time, and text coded at a time; a longer one alone.
-FLUSH_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
+FLUSH_BYTES, BATCH_BYTES = 8 << 20, 2 << 20
 #: Steps of a level of counts: each level doubles LEVELS times as slowly as the count.
 LEVELS = 8
 PROBES = ("", " ", "a", " a", "a  b ", "a\tb\n c", "　x", "ﬁ é é", "a▁b", "\x00", " a")
@@ -78,12 +78,10 @@ class ChunkCoder:
     def __init__(self, sp: sentencepiece.SentencePieceProcessor, table: pa.Table | None = None):
         self.sp, self.mark = sp, [sp.piece_to_id(MARK)]
         self.words = table["word"].combine_chunks() if table and table.num_rows else pa.array([], pa.binary())
-        self.n, self.ids, plain = self._unpacked(table.to_pydict() if table else {"ids": [], "decoded": []})
-        self.odd = {k: p for k, p in enumerate(plain) if p is not None}
-
-    @staticmethod
-    def _unpacked(rows: dict) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
-        return np.array([len(x) // 4 for x in rows["ids"]], np.int64), np.frombuffer(b"".join(rows["ids"]), "<i4"), rows["decoded"]
+        ids = table["ids"].combine_chunks() if table else pa.array([], pa.binary())
+        self.n, self.ids = pc.binary_length(ids).to_numpy().astype(np.int64) // 4, np.frombuffer(b"".join(ids.to_pylist()), "<i4")
+        odd = np.flatnonzero(table["decoded"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)) if table else []
+        self.odd = {int(k): table["decoded"][int(k)].as_py() for k in odd}
 
     def segment(self, words: list[bytes]) -> dict:
         """ids (little-endian, packed) of each word, and its decoded form where that is not the word itself."""
@@ -98,7 +96,8 @@ class ChunkCoder:
         coded = words.dictionary_encode()
         known = pc.index_in(coded.dictionary, value_set=self.words) if len(self.words) else pa.nulls(len(coded.dictionary), pa.int32())
         lacking = np.flatnonzero(known.is_null().to_numpy(zero_copy_only=False))
-        n, ids, plain = self._unpacked(self.segment(coded.dictionary.take(pa.array(lacking)).to_pylist()))
+        own = self.segment(coded.dictionary.take(pa.array(lacking)).to_pylist())
+        n, ids = np.array([len(x) // 4 for x in own["ids"]], np.int64), np.frombuffer(b"".join(own["ids"]), "<i4")
         row = pc.fill_null(known, 0).to_numpy().astype(np.int64)
         row[lacking] = len(self.words) + np.arange(len(lacking))
         n, ids = np.concatenate([self.n, n]), np.concatenate([self.ids, ids])
@@ -107,7 +106,7 @@ class ChunkCoder:
         size = n[at]
         end = np.cumsum(size)
         out = ids[np.arange(end[-1] if len(end) else 0) + np.repeat(start[at] - end + size, size)]
-        odd = self.odd | {len(self.words) + k: p for k, p in enumerate(plain) if p is not None}
+        odd = self.odd | {len(self.words) + k: p for k, p in enumerate(own["decoded"]) if p is not None}
         decoded = [t.replace(MARK, " ") if t else "" for t in texts.to_pylist()]
         if odd:
             is_odd = np.concatenate([[0], np.cumsum(np.isin(at, list(odd)))])
@@ -120,6 +119,7 @@ class ChunkCoder:
 def chunk_table(texts: DataFrame, model: bytes, rows: int = TABLE_ROWS) -> pa.Table:
     """(word, ids, decoded): the most frequent marked words of a column `text`, each segmented once; at most `rows`."""
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", FLUSH_BYTES):
             coded = chunked(batch.column("text"))[0].dictionary_encode()
@@ -128,6 +128,7 @@ def chunk_table(texts: DataFrame, model: bytes, rows: int = TABLE_ROWS) -> pa.Ta
             kept = np.flatnonzero((n > 1) & (size <= LONG_CHUNK))
             yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(kept)), pa.array(n[kept], pa.int64())], ["word", "n"])
 
+    @released
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ChunkCoder(sentencepiece.SentencePieceProcessor(model_proto=model))
         for batch in batches:
@@ -159,6 +160,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     by_chunk = separable(sentencepiece.SentencePieceProcessor(model_proto=model))
     shared = docs.sparkSession.sparkContext.broadcast(chunk_table(texts.select("text"), model, table_rows) if by_chunk else None)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         coder = ChunkCoder(sp, shared.value) if by_chunk else None

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialise, rows_out, sliced
+from tessera.llm._common import materialise, released, rows_out, sliced
 
 LENGTH = 100
 KMER = 32
@@ -127,6 +127,7 @@ def _flush(held: dict[tuple, tuple], length: int, kmer: int, hot_ranks: int) ->
 
 
 def _runs(rows: DataFrame, length: int, kmer: int, hot_ranks: int, flush_bytes: int) -> DataFrame:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple] = {}
         size = 0
@@ -147,6 +148,7 @@ def _runs(rows: DataFrame, length: int, kmer: int, hot_ranks: int, flush_bytes:
 def _settle(runs: DataFrame) -> DataFrame:
     """(id, tie, start, n, anchor, hot): hits (null anchor), and the first runs of unlike ranks at equal sample bytes."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, told, last_note = None, False, None  # the first run of the rank read last, whether it was passed on
 
@@ -200,6 +202,7 @@ WINDOW_KINDS = {"kind": pa.int8(), "bucket": pa.int64(), "id": pa.int64(), "tie"
 def _windows(rows: DataFrame, length: int, flush_bytes: int) -> DataFrame:
     """Runs of a text with their bytes, dealt by anchor; of hot ones each window, dealt by digest, one place a flush."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         hot: dict[bytes, tuple] = {}
@@ -257,6 +260,7 @@ def _bucket_hits(rows: DataFrame, length: int) -> DataFrame:
                 last = k
         return out
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, out = None, [], []
         seen: dict[bytes, tuple] = {}  # first place of each window of a digest
@@ -308,6 +312,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _remove(rows: DataFrame, id_col: str, length: int, keep_text: bool) -> DataFrame:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict = {k: ([], t) for k, t in (("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))} | ({"kept": ([], pa.binary())} if keep_text else {})

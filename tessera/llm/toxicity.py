@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import drop, materialise, rows_out, words
+from tessera.llm._common import drop, materialise, released, rows_out, words
 
 BITS = 18
 GRAM = 4
@@ -42,7 +42,9 @@ STEPS = 60
 RATE = 0.1
 L2 = 1e-4
 FAIRNESS = 1.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+#: Features that one step of the fit multiplies.
+PART = 1 << 20
 #: Kinds of group mentions in English, German, French and Spanish; within a kind, each term is swapped for the next.
 #: A word that languages share stands in the first of them only.
 IDENTITY_TERMS = (
@@ -146,11 +148,22 @@ class Rows:
         self.row = np.repeat(np.arange(len(rows), dtype=np.int32), self.n)
         self.size = len(rows)
 
+    def parts(self) -> Iterator[slice]:
+        return (slice(at, at + PART) for at in range(0, len(self.places), PART))
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.values * w[self.places], self.size)
+        out = np.zeros(self.size)
+        for k in self.parts():
+            first = int(self.row[k.start])
+            found = np.bincount(self.row[k] - first, self.values[k] * w[self.places[k]])
+            out[first : first + len(found)] += found
+        return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.places, self.values * r[self.row].astype(np.float32), 1 << BITS)
+        out = np.zeros(1 << BITS)
+        for k in self.parts():
+            out += np.bincount(self.places[k], self.values[k] * r[self.row[k]], 1 << BITS)
+        return out
 
 
 def featurise(text: str, table: Features, swap: dict[bytes, bytes]) -> tuple[tuple, list[tuple]]:
@@ -168,7 +181,7 @@ def featurise(text: str, table: Features, swap: dict[bytes, bytes]) -> tuple[tup
 
 def log_odds(x: Rows, y: np.ndarray) -> np.ndarray:
     """How far each place tells the classes apart: |log-odds| of its presence, with one text of each class added."""
-    with_it = [np.bincount(x.places, (y[x.row] == k).astype(float), 1 << BITS) + 1 for k in (0, 1)]
+    with_it = [sum((np.bincount(x.places[k][y[x.row[k]] == label], minlength=1 << BITS) for k in x.parts()), np.ones(1 << BITS)) for label in (0, 1)]
     n = [len(y) - y.sum() + 2, y.sum() + 2]
     return np.abs(np.log(with_it[1] / n[1]) - np.log(with_it[0] / n[0]))
 
@@ -179,7 +192,8 @@ def fit_rows(x: Rows, change: Rows, y: np.ndarray, fairness: float = FAIRNESS) -
         return np.append(np.zeros(1 << BITS), -np.inf)
     scale = log_odds(x, y)
     for rows in (x, change):
-        rows.values = (rows.values * scale[rows.places]).astype(np.float32)
+        for k in rows.parts():
+            rows.values[k] *= scale[rows.places[k]]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, bias = np.zeros(1 << BITS), 0.0
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -232,6 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
     texts = texts.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
+    @released
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, swap = Features(), swaps(IDENTITY_TERMS)
         for batch in batches:
@@ -253,15 +268,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return fit([], [])
     last = F.struct(F.xxhash64("id"), "id") <= F.struct(F.xxhash64(F.lit(ids[-1]).cast("long")), F.lit(ids[-1]).cast("long"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        y = np.array([label for _, label, *_ in held], float)
         docs_, changes = [], []
         for _, _, n, places, weights in held:
             cuts = np.cumsum(np.frombuffer(n, np.int64))[:-1]
             own = list(zip(np.split(np.frombuffer(places, np.int32), cuts), np.split(np.frombuffer(weights, np.float32), cuts)))
             docs_.append(own[0])
             changes += own[1:]
-        yield rows_out({"weights": ([fit_rows(Rows(docs_), Rows(changes), np.array([y for _, y, *_ in held], float)).tobytes()], pa.binary())})
+        x, change = Rows(docs_), Rows(changes)
+        del held, docs_, changes
+        yield rows_out({"weights": ([fit_rows(x, change, y).tobytes()], pa.binary())})
 
     found = np.frombuffer(rows.where(last).repartition(1).mapInArrow(run, "weights binary").first()[0])
     drop(rows)
@@ -272,6 +291,7 @@ def score_documents(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id"
     """(id, held_out, score, predicted), and the carried columns, of every row."""
     packed, bias = weights[:-1].astype(np.float32), float(weights[-1])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordScores(packed.astype(float))
         for batch in batches:
