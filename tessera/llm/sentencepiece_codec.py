@@ -12,7 +12,7 @@ before each run of markers into marked words that are segmented independently.
   are laid out by position in one gather.
 
 Words outside the table stay where their texts are. To send them to one place each and their ids back, every text would
-have to be shuffled as well; README has the figures of that plan. A model with pieces across markers, with a normaliser
+have to be shuffled as well; README has figures of that plan, measured in part. A model with pieces across markers, with a normaliser
 that changes texts, or without the dummy prefix takes the plain path: whole texts through the library.
 
 Edge cases: null counts as empty and gives begin and end ids alone; runs of spaces, literal markers,
