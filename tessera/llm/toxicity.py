@@ -42,7 +42,8 @@ STEPS = 60
 RATE = 0.1
 L2 = 1e-4
 FAIRNESS = 1.0
-CACHE_WORDS = 100_000
+#: Words whose features, and words whose scores, a task keeps.
+CACHE_WORDS, SCORE_WORDS = 100_000, 300_000
 #: Features that one step of the fit multiplies.
 PART = 1 << 20
 #: Kinds of group mentions in English, German, French and Spanish; within a kind, each term is swapped for the next.
@@ -222,7 +223,7 @@ class WordScores(dict):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= SCORE_WORDS:
             self.clear()
         self[word] = out = float(self.weights[features(word)].sum())
         return out
