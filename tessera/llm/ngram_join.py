@@ -213,7 +213,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     heads = materialise(keyed.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1"))
-    edges = join_groups(keyed, heads, "band", "members", F.col("node")).where("head IS NOT NULL AND head <> node").select("node", "head").distinct()
+    met = join_groups(keyed, heads, "band", "members", F.col("node")).where("head IS NOT NULL").groupBy("node").agg(F.collect_set("head").alias("heads"))  # one for each band at most, none larger than the node
+    edges = met.select(F.explode(F.array_union(F.array("node"), "heads")).alias("node"), F.array_min("heads").alias("head")).where("node <> head")
     groups = connected_components(edges, "node", "head").withColumnRenamed("component", "part")
     members = materialise(nodes.join(groups, "node").select("node", "part", "grams", "copies", "chosen"))
     sizes = materialise(members.groupBy("part").agg(F.sum("grams").alias("total"), F.count("*").alias("members")))

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from tessera.llm import chat_format, decontaminate, exact_dedup, html_extract, license_scan, ngram_join, queries, sentencepiece_codec, suffix_dedup, toxicity, url_filters
+from tessera.llm.components import connected_components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -558,3 +559,22 @@ def test_shared_folder_must_be_set_on_a_cluster():
     jvm = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         _common.shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", getConf=lambda: conf, _jsc=jvm)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_connected_components(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(k, k + 1) for k in range(100, 117)] + [(200, 200), (201, 201), (201, 202), (300, None), (None, 301)]
+    edges += [(500, k) for k in range(400, 420)] + edges[:5]
+    part = {x: x for e in edges if None not in e for x in e}
+    for _ in part:
+        for a, b in edges:
+            if a is not None and b is not None:
+                part[a] = part[b] = min(part[a], part[b])
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b").collect()
+    assert len(got) == len(part) and {r.node: r.component for r in got} == part
+
+
+def test_components_of_loops_and_of_nothing(spark):
+    assert [tuple(r) for r in connected_components(spark.createDataFrame([("x", "x"), ("x", "x")], "a string, b string"), "a", "b").collect()] == [("x", "x")]
+    assert connected_components(spark.createDataFrame([(None, "x")], "a string, b string"), "a", "b").count() == 0
