@@ -40,6 +40,8 @@ from tessera.llm.components import connected_components
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
 MAX_ROWS, MAX_BANDS = 5, 40
 BLOCK_GRAMS = 100_000
+#: n-grams of members, about, that one copy of a pivot serves.
+LOOK_GRAMS = 10_000
 #: Bins of distance up to the threshold, and bins in a ring.
 BINS, RING = 200, 20
 CACHE_WORDS = 300_000
@@ -241,9 +243,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _with_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
     """members with the text of their chosen row, each once."""
-    at = members.select("node", "part", "copies", "grams", "total", F.col("chosen.id").alias("i"), F.col("chosen.tie").alias("t"), F.col("chosen.repeats").alias("repeats"))
-    found = texts.join(at, (F.col("tie") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "part", "copies", "grams", "total", "repeats", "text")
-    again = found.where("repeats > 1").groupBy("node", "part", "copies", "grams", "total", "repeats").agg(F.first("text").alias("text"))
+    at = members.select("node", "part", "copies", "grams", "total", "members", F.col("chosen.id").alias("i"), F.col("chosen.tie").alias("t"), F.col("chosen.repeats").alias("repeats"))
+    found = texts.join(at, (F.col("tie") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "part", "copies", "grams", "total", "members", "repeats", "text")
+    again = found.where("repeats > 1").groupBy("node", "part", "copies", "grams", "total", "members", "repeats").agg(F.first("text").alias("text"))
     return found.where("repeats = 1").unionByName(again).drop("repeats")
 
 
@@ -290,7 +292,7 @@ def _pivots(large: DataFrame, n: int) -> DataFrame:
 
 def _binned(large: DataFrame, pivots: DataFrame, n: int, similarity: float) -> DataFrame:
     """(node, part, copies, grams, bin) of each member: its distance to the part's pivot. A pivot comes once to each block of its part."""
-    blocks = F.ceil(F.col("total") / BLOCK_GRAMS).cast("int")
+    blocks = F.least(F.ceil(F.col("total") / LOOK_GRAMS), "members").cast("int")  # no more looks than members
     own = _with_grams(large.select("node", "part", "copies", "grams", "total", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "text"), n)
     parts = large.select("part", blocks.alias("blocks")).distinct()
     copies = pivots.join(parts, "part").select(F.lit(None).cast("string").alias("node"), "part", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("grams"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "set")

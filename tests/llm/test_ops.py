@@ -386,6 +386,7 @@ def test_ngram_join_null_and_repeated_ids(spark, monkeypatch):
 def test_ngram_join_pivot_counts_are_exact(spark, monkeypatch):
     """A component of many blocks: near copies around one text, outliers, and members far from the pivot."""
     monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 700)
+    monkeypatch.setattr(ngram_join, "LOOK_GRAMS", 300)
     r = random.Random(11)
     base = [f"x{k}" for k in range(90)]
     texts = []
