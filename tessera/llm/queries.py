@@ -89,7 +89,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_exact_dedup, op4_ngram_join, op5_html_extract, op6_decontaminate, op7_license_scan, op8_chat_format, op9_toxicity, op10_suffix_dedup)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_exact_dedup, op4_ngram_join, op5_html_extract, op6_decontaminate, op7_license_scan, op8_chat_format, op9_toxicity, op10_suffix_dedup, op11_simhash)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
