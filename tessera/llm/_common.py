@@ -118,6 +118,18 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(start)
 
 
+def text_blocks(rows: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
+    """(id, text) of all rows in blocks of at most `limit` bytes of text (one row at least), one in the driver at a time; no rows: one empty block."""
+    block, size = [], 0
+    for name, text, n in rows.select(id_col, text_col, F.coalesce(F.octet_length(text_col), F.lit(0))).toLocalIterator():
+        if block and size + n > limit:
+            yield block
+            block, size = [], 0
+        block.append((name, text))
+        size += n
+    yield block
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, total: int | None = None) -> DataFrame:
     """Left join of rows with one row per key, where a key may hold a third of all rows.
 

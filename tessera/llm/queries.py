@@ -95,7 +95,19 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_exact_dedup, op4_ngram_join, op5_html_extract, op6_decontaminate, op7_license_scan, op8_chat_format, op9_toxicity, op10_suffix_dedup, op11_simhash)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.prefix_trie import prefix_trie, turn_keys, with_shared_heads
+
+    return prefix_trie(with_shared_heads(turn_keys(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_exact_dedup, op4_ngram_join, op5_html_extract, op6_decontaminate, op7_license_scan, op8_chat_format, op9_toxicity, op10_suffix_dedup, op11_simhash, op12_ranked_search, op13_prefix_trie)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -233,4 +245,55 @@ WITH docs AS (
 ), counts AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)""",
+    # The score by its formula, for every document and item that share a term.
+    "op12_ranked_search": f"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents
+), stats AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM docs WHERE len(w) > 0
+), counts AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM docs) GROUP BY doc_id, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), stats
+), loads AS (
+  SELECT doc_id, 25 + (75 * CAST(len(w) AS BIGINT) * n_docs) // n_terms AS m FROM docs, stats WHERE len(w) > 0
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}')) AS term FROM benchmark) GROUP BY item_id, term
+), scored AS (
+  SELECT item_id, c.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN counts c USING (term) JOIN weights USING (term) JOIN loads l ON l.doc_id = c.doc_id GROUP BY item_id, c.doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10""",
+    # A node is the text of its turns; sums over a subtree run over the path of each node's smallest member.
+    "op13_prefix_trie": """
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 100 AS base, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END)), CAST(4294967295 AS BIGINT)) % 6 AS h
+  FROM (SELECT DISTINCT c FROM turns)
+), rebuilt AS (
+  SELECT v.c, pos, role, text FROM convs v JOIN turns t ON t.c = v.c WHERE pos >= h
+  UNION ALL SELECT v.c, pos, role, text FROM convs v JOIN turns t ON t.c = v.base WHERE pos < h
+), paths AS (
+  SELECT c, 0 AS depth, 'root' AS node, 0 AS points FROM convs
+  UNION ALL SELECT c, row_number() OVER w, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w, length(text)
+  FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING)
+), chained AS (
+  SELECT *, lag(node) OVER (PARTITION BY c ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY c) AS ends FROM paths
+), nodes AS (
+  SELECT node, depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(points) AS points,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM chained GROUP BY node, depth
+), children AS (SELECT up AS node, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+trees AS (
+  SELECT a.node, sum((y.n_convs - 1) * y.points) AS saved_tokens, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves
+  FROM nodes y LEFT JOIN children k USING (node) JOIN paths a ON a.c = y.conv_id AND a.depth <= y.depth GROUP BY a.node
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN trees USING (node) LEFT JOIN children USING (node) LEFT JOIN nodes p ON p.node = n.up""",
 }
