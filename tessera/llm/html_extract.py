@@ -5,20 +5,21 @@ for the container that holds them and half for the one around it. From the best
 ancestor while that holds at least SHARE as much text again outside of it, so that a text in several containers is one;
 it leaves <main> never, and <article> only for other articles. The choice casts its page's vote for its path, tags and
 classes from the root with digits generalised, in its host's count; a path is known by a 64-bit key. The host's winner is
-the path with most votes. Pass two re-extracts every page: the elements on the winning path, in page order; a page
-without text in such an element gives its own choice, one without any container its whole body.
+the path with most votes. Pass two re-extracts every page: the elements on the winning path, in page order, together with
+the page's own choice where that holds at least SHARE as much text again beside them (and LEAST characters), as on a
+host of mixed templates; a page without text on the winning path gives its own choice, one without any container its whole body.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out,
 by tag or by class, id and role words: a class, id or role says so if it consists of such words and layout words
 (site-header, comments-area); a class or role also if it starts with one (nav-7up), unless a word of state follows
 (header-fixed). Ids of headings say nothing, and an element that holds <main>, the page's only articles or nearly
-all of its text is a wrapper, whatever its words. Character references are decoded, white space inside a block becomes one
+all of its text is a wrapper, whatever its words. Only attributes of just these names count. Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one space.
 
 Winners that differ from the overall one travel with the tasks while they are at most BROADCAST_HOSTS of at most
 BROADCAST_BYTES in all; beyond that pages are joined with their host's winner, hot hosts apart.
 
-Time and memory of a page grow with its length, however its tags are nested, but for nested articles.
+Time and memory of a page grow with its length, however its tags are nested.
 
 Edge cases: a null url counts as host ""; null or empty html gives an empty text; unclosed tags and cut-off
 pages are closed at their end; ties in a vote go to the path of the smallest key; pages that repeat are extracted (and
@@ -40,11 +41,12 @@ from tessera.llm._common import join_groups, materialise, released, rows_out
 from tessera.llm.url_filters import host_and_path
 
 BROADCAST_HOSTS, BROADCAST_BYTES = 50_000, 4 << 20
-#: Text outside the choice, as a share of its own, for which it moves up.
-SHARE = 0.3
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Text outside the choice, as a share of its own, for which it moves up; a page's own choice beside the host's path counts from LEAST characters.
+SHARE, LEAST = 0.3, 25
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)", re.S)
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "xmp", "iframe")}
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Name and value of one attribute after the other; quotes count right behind the equals sign only.
+ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("nav header footer aside form script style noscript iframe template button select textarea input svg object canvas head title dialog menu option".split())
 SKIPPED_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner promo sponsored sponsor cookie cookies consent notice notices popup modal newsletter subscribe comment comments commentlist respond disqus breadcrumb breadcrumbs share sharing social related pagination toolbar widget complementary contentinfo search".split())
@@ -136,6 +138,8 @@ def _attributes(tag: str, raw: str) -> tuple[str, set[str]]:
     classes, said = "", set()
     for name, *values in ATTRIBUTE.findall(raw):
         value, name = "".join(values), name.lower()
+        if name not in ("class", "id", "role"):
+            continue
         if name != "id" or tag not in HEADINGS:
             for token in value.lower().split():
                 said |= skipped_words(token, name == "id")
@@ -144,47 +148,49 @@ def _attributes(tag: str, raw: str) -> tuple[str, set[str]]:
     return classes, said
 
 
-def above(element: Element) -> Iterator[Element]:
-    while element.parent is not None:
-        element = element.parent
-        yield element
-
-
 def keep_wrappers(events: list[tuple[Element, str]], elements: list[Element]) -> None:
-    """Elements that are left out for their words but wrap the page's text are kept after all."""
-    while top := [e for e in elements if e.said and e.skip and not e.parent.skip and e.tag not in SKIPPED]:
-        held: dict[int, set[str]] = {}
-        for e in elements:
-            line = list(above(e)) if e.tag == "main" or e.tag == "article" and not e.said else []
-            if not any(a.tag in SKIPPED for a in line):
-                for a in line:
-                    held.setdefault(a.serial, set()).add(e.tag)
-                    if a.said & PASSING_WORDS and e.tag == "article":
-                        break
-        inner = {e.serial: 0 for e in top if e.serial in held or not e.said & PASSING_WORDS}
-        outer = articles = 0
-        owner: dict[int, int | None] = {0: None}  # the wrapper that an element's text counts for; parents come first
-        for e in elements if inner else ():
-            passed_on = e.tag not in SKIPPED and not e.said & PASSING_WORDS
-            owner[e.serial] = e.serial if e.serial in inner else owner[e.parent.serial] if passed_on else None
-        for element, text in events if inner else ():
-            n = 0 if element.linked or text == "\x00" else len("".join(text.split()))
-            if not n:
-                continue
-            if not element.skip:
-                outer += n
-                articles += element.marked
-            elif (wrapper := owner[element.serial]) is not None:
-                inner[wrapper] += n
-        kept = False
+    """Elements that are left out for their words but wrap the page's text are kept after all.
+
+    What an element holds is summed once, from the inside out; then wrappers are judged level by level, each once, as
+    keeping one lays open those within.
+    """
+    if not any(e.said and e.skip and e.tag not in SKIPPED for e in elements):
+        return
+    n = len(elements) + 1
+    own = [0] * n
+    for element, text in events:
+        if not element.linked and text != "\x00":
+            own[element.serial] += len("".join(text.split()))
+    text, main, article, within = own[:], [False] * n, [False] * n, [False] * n
+    children: list[list[Element]] = [[] for _ in range(n)]
+    for e in elements:  # parents come first
+        within[e.serial] = within[e.parent.serial] or e.parent.tag in SKIPPED
+        children[e.parent.serial].append(e)
+    for e in reversed(elements):
+        k, up, passing = e.serial, e.parent.serial, bool(e.said & PASSING_WORDS)
+        if e.tag not in SKIPPED and not passing:
+            text[up] += text[k]
+        main[up] |= main[k] or e.tag == "main" and not within[k]
+        article[up] |= article[k] and not passing or e.tag == "article" and not e.said and not within[k]
+    outer, articles = own[0], 0
+    top, shown = [], [e for e in elements if e.parent.serial == 0]
+    while shown:
+        while shown:
+            e = shown.pop()
+            e.skip = e.tag in SKIPPED or bool(e.said) and e.tag not in NEVER_SKIPPED
+            if not e.skip:
+                outer += own[e.serial]
+                articles += own[e.serial] * e.marked
+                shown += children[e.serial]
+            elif e.tag not in SKIPPED:
+                top.append(e)
         for e in top:
-            n, tags = inner.get(e.serial, 0), held.get(e.serial, ())
-            if "main" in tags or n and not articles and ("article" in tags and n > outer or not e.said & PASSING_WORDS and n >= 9 * outer):
-                e.said, kept = set(), True
-        if not kept:
-            return
-        for e in elements:  # parents come first
-            e.skip = e.parent.skip or e.tag in SKIPPED or bool(e.said) and e.tag not in NEVER_SKIPPED
+            k, passing = e.serial, bool(e.said & PASSING_WORDS)
+            inner = text[k] if main[k] or article[k] or not passing else 0
+            if main[k] or inner and not articles and (article[k] and inner > outer or not passing and inner >= 9 * outer):
+                e.said = set()
+                shown.append(e)
+        top = []
 
 
 def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
@@ -273,24 +279,31 @@ def best_container(page: str) -> int | None:
 
 
 def extract(page: str | None, path: str | int | None) -> str:
-    """Main text: the elements on the path (or of its key) if they hold any, else the page's own choice, else the body."""
+    """Main text: the elements on the path (or of its key), and the page's own choice where that adds enough; without either, the body."""
     if not page:
         return ""
     events, elements = parse(page)
+    own = choice(events, elements)
 
-    def text(inside: int | None) -> tuple[bool, str]:
-        known = [inside is None] * (len(elements) + 1)
-        for e in elements if inside is not None else ():
-            known[e.serial] = known[e.parent.serial] or e.key == inside
-        pieces = [piece for element, piece in events if not element.skip and known[element.serial]]
-        seen = any(not piece.isspace() and piece != "\x00" for piece in pieces)
-        return seen, " ".join(w for block in "".join(pieces).split("\x00") for w in block.split())
+    def known(key: int | None) -> list[bool]:
+        out = [key is None] * (len(elements) + 1)
+        for e in elements if key is not None else ():
+            out[e.serial] = out[e.parent.serial] or e.key == key
+        return out
 
+    inside = known(own)
     if path is not None:
-        seen, out = text(path_key(path) if isinstance(path, str) else path)
-        if seen:
-            return out
-    return text(choice(events, elements))[1]
+        path = path_key(path) if isinstance(path, str) else path
+        found, held, more = known(path), 0, 0
+        for element, piece in events:
+            if not element.skip and piece != "\x00":
+                n = len(piece) - sum(map(piece.count, " \n\t\r\f"))
+                held += n * found[element.serial]
+                more += n * (own is not None and inside[element.serial] and not found[element.serial] and not element.linked)
+        if held:
+            inside = [a or b for a, b in zip(inside, found)] if more >= max(LEAST, SHARE * held) else found
+    pieces = [piece for element, piece in events if not element.skip and inside[element.serial]]
+    return " ".join(w for block in "".join(pieces).split("\x00") for w in block.split())
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

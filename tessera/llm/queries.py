@@ -245,6 +245,16 @@ WITH docs AS (
 ), counts AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)""",
+    # For the one template of the tables: the blocks of <article>, without other tags.
+    "op5_html_extract": r"""
+WITH cut AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS article FROM pages
+), bare AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(article, '(?s)<!--.*?-->|<div class="ad">.*?</div>', '', 'g'), '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS kept FROM cut
+), decoded AS (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(kept, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS text FROM bare
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM decoded""",
     # The score by its formula, for every document and item that share a term.
     "op12_ranked_search": f"""
 WITH docs AS (
