@@ -13,8 +13,11 @@ The method is a blockwise suffix sort with a difference cover, in a form that ne
 * The buckets. Runs of unlike rank at equal sample bytes may share some windows. The suffixes that start in the
   first run of each such rank are sorted one bucket at a time, on LENGTH bytes; of each group of equal ones
   all but the first are hits. Sample bytes with over HOT_RANKS ranks in one flush are dealt by rank, and a bucket of
-  more than BUCKET_RUNS runs is split by window digest, of which a flush again passes on one place. Memory is bounded
-  by a flush and a bucket.
+  more than BUCKET_RUNS runs is split by window digest, of which a flush again passes on one place.
+
+Memory is bounded by a flush, a bucket, and a few times the longest text: a text is hashed in stretches of STRETCH
+windows (a run that a cut divides is made whole again), its runs are numbers of some bytes each, and flushes end
+within it where its windows are passed on.
 
 Whole copies of a text need no step of their own: all their runs tie.
 
@@ -45,6 +48,8 @@ HOT_RANKS = 64
 #: Text whose ties one step of a task settles before the shuffle.
 FLUSH_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
+#: Windows of a text that are hashed at a time, and rows of a text that are held as Python values.
+STRETCH, STEP = 1 << 20, 1 << 16
 #: Kinds of rows that a flush passes on.
 RUN, HIT, HOT_RUN, HOT_NOTE = 0, 1, 2, 3
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -74,6 +79,19 @@ def cover_runs(data: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.
     return starts, at[starts], h[at[starts]]
 
 
+def text_runs(data: bytes, length: int = LENGTH, kmer: int = KMER, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """cover_runs of a text of any length, of `stretch` windows at a time; a run that a cut divides is made whole."""
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, max(1, len(data) - length + 1), stretch):
+        starts, at, hashes = cover_runs(data[a : a + stretch + length - 1], length, kmer)
+        starts, at = starts + a, at + a
+        if parts and len(at) and parts[-1][1][-1] == at[0]:
+            starts, at, hashes = starts[1:], at[1:], hashes[1:]
+        if len(at) or not parts:
+            parts.append((starts, at, hashes))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _signed(x: int) -> int:
     return x - 2**63
 
@@ -83,6 +101,12 @@ def _place(i: int | None, tie: int, start: int) -> tuple:
     return i is not None, i or 0, tie, start
 
 
+def _parts(*columns: np.ndarray) -> Iterator[Iterator[tuple]]:
+    """Rows of columns of one length as Python values, some at a time."""
+    for k in range(0, len(columns[0]), STEP):
+        yield zip(*(c[k : k + STEP].tolist() for c in columns))
+
+
 RUN_SCHEMA = "kind byte, route long, rank long, id long, tie long, start int, n int"
 def corpus_order() -> tuple:
     return F.col("id").asc_nulls_first(), F.col("tie"), F.col("start")
@@ -93,7 +117,7 @@ def _flush(held: dict[tuple, tuple], length: int, kmer: int, hot_ranks: int) ->
     docs = [held[k] for k in sorted(held)]
     doc, start, n, anchor, rank = [], [], [], [], []
     for k, (_, _, data) in enumerate(docs):
-        starts, at, hashes = cover_runs(data, length, kmer)
+        starts, at, hashes = text_runs(data, length, kmer)
         if not len(starts):
             continue
         own = np.diff(np.append(starts, len(data) - length + 1))
@@ -101,7 +125,7 @@ def _flush(held: dict[tuple, tuple], length: int, kmer: int, hot_ranks: int) ->
         start.append(starts)
         n.append(own)
         anchor.append(hashes)
-        rank.append(np.array([xxhash.xxh3_64_intdigest(data[s : s + m + length - 1], seed=a - s + 1) for s, a, m in zip(starts.tolist(), at.tolist(), own.tolist())], np.uint64))
+        rank.append(np.fromiter((xxhash.xxh3_64_intdigest(data[s : s + m + length - 1], seed=a - s + 1) for part in _parts(starts, at, own) for s, a, m in part), np.uint64, len(starts)))
     doc, start, n = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (doc, start, n))
     anchor, rank = (np.concatenate(x or [np.zeros(0, np.uint64)]) for x in (anchor, rank))
     mixed = (anchor ^ (rank * BASE)) * BASE
@@ -132,8 +156,8 @@ def _runs(rows: DataFrame, length: int, kmer: int, hot_ranks: int, flush_bytes:
         held: dict[tuple, tuple] = {}
         size = 0
         for batch in sliced(batches, "text", CHUNK_BYTES):
-            for i, tie, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "text"))):
-                if len(data := text.encode("utf-8", "replace")) >= length:
+            for i, tie, text in zip(batch.column("id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text").cast(pa.binary())):
+                if len(data := text.as_py()) >= length:
                     held[_place(i, tie, 0)] = i, tie, data
                     size += len(data)
             if size >= flush_bytes:
@@ -213,12 +237,15 @@ def _windows(rows: DataFrame, length: int, flush_bytes: int) -> DataFrame:
             return rows_out({k: (list(v), t) for (k, t), v in zip(WINDOW_KINDS.items(), zip(*rows_) if rows_ else [()] * len(WINDOW_KINDS))})
 
         for batch in sliced(batches, "text", CHUNK_BYTES):
-            for i, tie, text, runs in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "text", "runs"))):
-                data = text.encode("utf-8", "replace")
-                for r in runs:
-                    s, n = r["start"], r["n"]
-                    if not r["hot"]:
-                        out.append((RUN, r["anchor"], i, tie, s, data[s : s + n + length - 1]))
+            for i, tie, text, runs in zip(batch.column("id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("runs")):
+                data = text.as_py()
+                fields = (runs.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "anchor", "hot"))
+                for s, n, anchor, is_hot in (r for part in _parts(*fields) for r in part):
+                    if size >= flush_bytes:  # within a text too
+                        yield flushed()
+                        out, hot, size = [], {}, 0
+                    if not is_hot:
+                        out.append((RUN, anchor, i, tie, s, data[s : s + n + length - 1]))
                         size += n + length
                         continue
                     for p in range(s, s + n):
@@ -228,9 +255,6 @@ def _windows(rows: DataFrame, length: int, flush_bytes: int) -> DataFrame:
                             hot[w] = early
                             out.append((HIT, late[1], *late, None))
                     size += n * length
-                if size >= flush_bytes:
-                    yield flushed()
-                    out, hot, size = [], {}, 0
         yield flushed()
 
     return rows.mapInArrow(run, "kind byte, bucket long, id long, tie long, start int, bytes binary")
@@ -311,25 +335,26 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _remove(base.join(hits, (F.col("tie") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")), "left"), id_col, length, keep_text)
 
 
+def _spans(start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (excluded) byte of each maximal run that the windows from n starts on cover."""
+    order = np.argsort(start, kind="stable")
+    start = start[order].astype(np.int64)
+    reach = np.maximum.accumulate(start + n[order] + length - 1)
+    fresh = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]])[: len(start)])
+    return start[fresh], reach[np.append(fresh[1:], len(start)) - 1] if len(start) else reach
+
+
 def _remove(rows: DataFrame, id_col: str, length: int, keep_text: bool) -> DataFrame:
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict = {k: ([], t) for k, t in (("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))} | ({"kept": ([], pa.binary())} if keep_text else {})
-            for i, text, found in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "hits"))):
-                data = text.encode("utf-8", "replace")
-                spans: list[list[int]] = []
-                for s, n in sorted((h["start"], h["n"]) for h in found or ()):
-                    if spans and s <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], s + n + length - 1)
-                    else:
-                        spans.append([s, s + n + length - 1])
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(data[at:a])
-                    at = b
-                rest = b"".join([*kept, data[at:]])
-                for k, v in zip(out, (i, len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest)):
+            for i, text, found in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("hits")):
+                data = text.as_py()
+                a, b = _spans(found.values.field("start").to_numpy(), found.values.field("n").to_numpy(), length) if found.is_valid else (np.zeros(0, np.int64),) * 2
+                kept = (data[x:y] for part in _parts(np.append(0, b), np.append(a, len(data))) for x, y in part)
+                rest = b"".join(kept) if len(a) else data
+                for k, v in zip(out, (i, len(data), len(data) - len(rest), len(a), hashlib.sha256(rest).hexdigest(), rest)):
                     out[k][0].append(v)
             yield rows_out(out)
 
