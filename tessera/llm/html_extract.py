@@ -154,7 +154,8 @@ def keep_wrappers(events: list[tuple[Element, str]], elements: list[Element]) ->
     What an element holds is summed once, from the inside out; then wrappers are judged level by level, each once, as
     keeping one lays open those within.
     """
-    if not any(e.said and e.skip and e.tag not in SKIPPED for e in elements):
+    left_out = [e for e in elements if e.skip and (e.said and not e.said & PASSING_WORDS and e.tag not in SKIPPED or e.tag in ("main", "article"))]
+    if not left_out:  # nothing that could wrap the text
         return
     n = len(elements) + 1
     own = [0] * n
@@ -292,12 +293,12 @@ def extract(page: str | None, path: str | int | None) -> str:
         return out
 
     inside = known(own)
-    if path is not None:
-        path = path_key(path) if isinstance(path, str) else path
+    path = path_key(path) if isinstance(path, str) else path
+    if path is not None and path != own:
         found, held, more = known(path), 0, 0
         for element, piece in events:
             if not element.skip and piece != "\x00":
-                n = len(piece) - sum(map(piece.count, " \n\t\r\f"))
+                n = 0 if piece.isspace() else len(piece) - piece.count(" ")
                 held += n * found[element.serial]
                 more += n * (own is not None and inside[element.serial] and not found[element.serial] and not element.linked)
         if held:
