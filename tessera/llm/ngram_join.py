@@ -13,8 +13,10 @@ connects it, never the pairs.
   into blocks, are put into bins by their distance to the pivot. Two members whose bins add up to less than the
   threshold are surely linked: a histogram of bins counts those links, and one edge to the innermost member
   connects them, so a large group of near copies costs one look at each member. Only blocks of rings whose
-  distances leave it open meet in cells, and there only the open pairs are judged. Members that all lie far from
-  their pivot and from each other still meet block by block: exact counts of links need that.
+  distances leave it open meet in cells, and there only the open pairs are judged.
+* Where members spread over more than WIDE_BLOCKS blocks, as chains of rows do that are each like the next one, the cells are
+  the buckets of the bands instead, and an open pair is judged in the first that it shares: a member is copied once for
+  each band at most, and work follows the candidates. There the recall is that of the bands; elsewhere all pairs of a component count.
 
 Edge cases: a text of fewer than n words, but not none, is one n-gram of all its words; texts without words
 (null, empty) are linked to nothing, each a class of its own; rows that repeat are copies of each other; a class
@@ -44,6 +46,8 @@ BLOCK_GRAMS = 100_000
 LOOK_GRAMS = 10_000
 #: Bins of distance up to the threshold, and bins in a ring.
 BINS, RING = 200, 20
+#: Blocks of a part from which its open pairs meet in the buckets of their bands.
+WIDE_BLOCKS = 16
 CACHE_WORDS = 300_000
 #: n-grams per MinHash step.
 STEP = 1 << 17
@@ -52,6 +56,11 @@ BATCH_BYTES = 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+JUDGED = ("node", "copies", "side", "bin", "set", "bands", "band")
+#: Columns of cells that are not the bucket of a band.
+NO_BAND = ("CAST(NULL AS ARRAY<BIGINT>) AS bands", "CAST(NULL AS INT) AS band")
+
+
 def bands_and_rows(similarity: float, recall: float) -> tuple[int, int]:
     """The most rows, and bands enough for the recall at this similarity."""
     for rows in range(MAX_ROWS, 0, -1):
@@ -127,10 +136,11 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, tie long, node string, grams long, bands array<long>")
 
 
-def block_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, similarity: float, bins: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def block_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, similarity: float, bins: np.ndarray | None = None, bands: np.ndarray | None = None, band: int = 0) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Weighted links of each set, and a forest of links. side 0/1: only pairs of unlike sides; side 2: all pairs.
 
-    bins: by distance to a pivot; pairs that they settle are left out.
+    bins: by distance to a pivot; pairs that they settle are left out. bands: band hashes, with which only pairs count
+    whose first common band is this one.
     """
     n = len(sets)
     links, parent = np.zeros(n, np.int64), list(range(n))
@@ -187,6 +197,8 @@ def block_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, s
         maybe = maybe[(side[maybe] == 2) | (side[maybe] != side[i])]
         if bins is not None:
             maybe = maybe[bins[maybe] + bins[i] + 2 > BINS]
+        if bands is not None and len(maybe):
+            maybe = maybe[(bands[maybe] == bands[i]).argmax(1) == band]
         maybe = maybe[np.minimum(size[maybe], size[i]) >= similarity * np.maximum(size[maybe], size[i]) - 1e-9]
         if not len(maybe):
             continue
@@ -223,11 +235,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = materialise(_with_texts(texts, join_groups(members, sizes, "part", "members", F.col("node"))))
     drop(heads, members, sizes)
 
-    small = held.where(F.col("total") <= BLOCK_GRAMS).select("node", "copies", "text", F.col("part").alias("cell"), F.lit(2).alias("side"), F.lit(None).cast("int").alias("bin"))
+    small = held.where(F.col("total") <= BLOCK_GRAMS).select("node", "copies", "text", F.col("part").alias("cell"), F.lit(2).alias("side"), F.lit(None).cast("int").alias("bin"), *map(F.expr, NO_BAND))
     judged = _judge(_with_grams(small, n), similarity)
     large = held.where(F.col("total") > BLOCK_GRAMS)
     if not large.isEmpty():
-        judged = judged.unionByName(_judge_large(large, n, similarity))
+        judged = judged.unionByName(_judge_large(large, nodes.select("node", "bands"), n, similarity))
     judged = materialise(judged)
     drop(held)
     linked = judged.where("other IS NOT NULL").select("node", "other")
@@ -317,10 +329,10 @@ def _binned(large: DataFrame, pivots: DataFrame, n: int, similarity: float) -> D
     return dealt.mapInArrow(run, "node string, part string, copies long, grams long, bin int")
 
 
-def _judge_large(large: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(node, links, other) as _judge gives them, of parts that are no cell of one task."""
-    if similarity == 1:
-        raise ValueError("parts of unlike sets have no links at similarity 1")
+def _judge_large(large: DataFrame, banded: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(node, links, other) as _judge gives them, of parts that are no cell of one task. banded: node, bands."""
+    if similarity == 1:  # unlike sets are not linked
+        return large.select("node", F.lit(None).cast("long").alias("links"), F.lit(None).cast("string").alias("other")).limit(0)
     pivots = materialise(_pivots(large, n))
     binned = materialise(_binned(large, pivots, n, similarity))
     histogram = binned.groupBy("part", "bin").agg(F.sum("copies").alias("weight"), F.count("*").alias("n"), F.sum("grams").alias("grams"), F.min("node").alias("first"))
@@ -338,30 +350,49 @@ def _judge_large(large: DataFrame, n: int, similarity: float) -> DataFrame:
     met = F.flatten(F.transform(met, lambda r: F.transform(F.sequence(F.lit(0), r["blocks"] - 1), lambda k: F.struct(r["ring"].alias("ring"), k.alias("block")))))
     own_blocks = F.get(F.filter("rings", lambda r: r["ring"] == own_ring), F.lit(0))["blocks"]
     own = F.struct(own_ring.alias("ring"), F.pmod(F.xxhash64("node"), own_blocks).cast("int").alias("block"))
-    placed = known.select("node", "part", "copies", "bin", own.alias("own"), F.explode(met).alias("met"))
+    wide = F.aggregate("rings", F.lit(0), lambda done, r: done + r["blocks"]) > WIDE_BLOCKS
+    placed = known.where(~wide).select("node", "part", "copies", "bin", own.alias("own"), F.explode(met).alias("met"))
     name = F.concat_ws("/", "part", *(f(F.col("own"), F.col("met"))[k].cast("string") for f in (F.least, F.greatest) for k in ("ring", "block")))
     side = F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1)
     placed = placed.select("node", "copies", "bin", name.alias("cell"), side.alias("side"))
-    cells = placed.join(large.select(F.col("node").alias("at"), "text"), F.col("node") == F.col("at")).select("node", "copies", "text", "cell", "side", "bin")
+    cells = placed.join(large.select(F.col("node").alias("at"), "text"), F.col("node") == F.col("at")).select("node", "copies", "text", "cell", "side", "bin", *map(F.expr, NO_BAND))
+    spread = known.where(wide & (F.size(met) > 0)).select("node", "copies", "grams", "bin")
+    if not spread.isEmpty():
+        placed = _by_band(spread, banded)
+        texts = large.select(F.col("node").alias("at"), "text").join(banded.select(F.col("node").alias("of"), "bands"), F.col("at") == F.col("of")).select("at", "text", "bands")
+        cells = cells.unionByName(placed.join(texts, F.col("node") == F.col("at")).select("node", "copies", "text", "cell", "side", "bin", "bands", "band"))
     return _judge(_with_grams(cells, n), similarity).unionByName(sure.select("node", F.when(F.col("links") > 0, F.col("links")).alias("links"), F.lit(None).cast("string").alias("other"))).unionByName(sure.where("other IS NOT NULL").select("node", F.lit(None).cast("long").alias("links"), "other"))
 
 
+def _by_band(spread: DataFrame, banded: DataFrame) -> DataFrame:
+    """(node, copies, bin, cell, side, band) of members in the buckets of their bands; spread: node, copies, grams, bin."""
+    each = spread.join(banded.select(F.col("node").alias("at"), "bands"), F.col("node") == F.col("at")).select("node", "copies", "grams", "bin", F.posexplode("bands").alias("band", "hash"))
+    each = each.withColumn("bucket", F.concat_ws("/", "band", "hash"))
+    sizes = materialise(each.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("grams").alias("weight")).where("n > 1"))
+    held = join_groups(each, sizes, "bucket", "n", F.col("node")).where("n IS NOT NULL")
+    blocks = F.ceil(F.col("weight") / BLOCK_GRAMS).cast("int")
+    held = held.select("node", "copies", "bin", "band", "bucket", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("met"))
+    side = F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1)
+    return held.select("node", "copies", "bin", F.concat_ws("/", "bucket", F.least("own", "met"), F.greatest("own", "met")).alias("cell"), side.alias("side"), "band")
+
+
 def _judge(placed: DataFrame, similarity: float) -> DataFrame:
     """(node, links) for each member of a cell, (node, other) for each tree edge of its forest."""
 
-    def one(nodes: list[str], copies: list[int], sides: list[int], bins: list[int | None], grams: list[bytes]):
+    def one(nodes: list[str], copies: list[int], sides: list[int], bins: list[int | None], grams: list[bytes], bands: list[list[int] | None], band: list[int | None]):
         settled = None if not bins or bins[0] is None else np.array(bins, np.int64)
-        links, forest = block_links([np.frombuffer(g, np.uint64) for g in grams], np.array(copies, np.int64), np.array(sides), similarity, settled)
+        by_band = (np.array(bands, np.int64), band[0]) if bands and bands[0] is not None else ()
+        links, forest = block_links([np.frombuffer(g, np.uint64) for g in grams], np.array(copies, np.int64), np.array(sides), similarity, settled, *by_band)
         return [(x, int(k), None) for x, k in zip(nodes, links) if k] + [(nodes[a], None, nodes[b]) for a, b in forest]
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, out = None, ([], [], [], [], []), []
+        cell, held, out = None, tuple([] for _ in JUDGED), []
         for batch in batches:
-            for name, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "copies", "side", "bin", "set"))):
+            for name, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", *JUDGED))):
                 if name != cell:
                     out += one(*held)
-                    cell, held = name, ([], [], [], [], [])
+                    cell, held = name, tuple([] for _ in JUDGED)
                 for x, v in zip(held, row):
                     x.append(v)
             if out:
@@ -372,7 +403,7 @@ def _judge(placed: DataFrame, similarity: float) -> DataFrame:
             if out:
                 yield _batch(out)
 
-    return placed.select("cell", "node", "copies", "side", "bin", "set").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "node string, links long, other string")
+    return placed.select("cell", *JUDGED).repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "node string, links long, other string")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
