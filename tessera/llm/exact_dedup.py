@@ -33,15 +33,21 @@ def _place(key: Column, bits: int) -> tuple[Column, Column]:
 def _survivors(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     """Bitmap of the keys that two or more rows have, at most 2 ** MAX_BITS / ROW_BITS rows of 4 KB, and its bits as a power of 2."""
     repeated = materialise(keys.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), found=F.count("*"))
-    bits = min(max(MIN_BITS, (8 * repeated.seen_on_the_way["found"]).bit_length()), MAX_BITS)
-    bucket, bit = _place(F.col(key), bits)
-    bitmap = materialise(repeated.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    out = bitmap_of(repeated, key, repeated.seen_on_the_way["found"])
     drop(repeated)
-    return bitmap, bits
+    return out
+
+
+def bitmap_of(keys: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
+    """Bitmap of the hashes of n keys, and its bits as a power of 2."""
+    bits = min(max(MIN_BITS, (8 * n).bit_length()), MAX_BITS)
+    bucket, bit = _place(F.col(key), bits)
+    return materialise(keys.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))), bits
 
 
-def _with_hit(rows: DataFrame, survivors: tuple[DataFrame, int], key: str, name: str) -> DataFrame:
-    bitmap, bits = survivors
+def with_hit(rows: DataFrame, marks: tuple[DataFrame, int], key: str, name: str) -> DataFrame:
+    """rows with a column that is true where the bitmap has the key's hash."""
+    bitmap, bits = marks
     bucket, bit = _place(F.col(key), bits)
     out = rows.withColumns({"at_bucket": bucket, "at_bit": bit}).join(F.broadcast(bitmap), F.col("at_bucket") == F.col("bucket"), "left")
     byte = F.conv(F.hex(F.substring("bits", F.expr("at_bit div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
@@ -61,10 +67,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lengths = _survivors(by_length, "length")
 
     sized = base.withColumn("length", F.coalesce(F.octet_length("text"), F.lit(0)))
-    prefixed = _with_hit(sized, lengths, "length", "same_length").withColumn("prefix", F.when(F.col("same_length"), F.xxhash64("length", F.substring(text, 1, PREFIX_CHARS))))
+    prefixed = with_hit(sized, lengths, "length", "same_length").withColumn("prefix", F.when(F.col("same_length"), F.xxhash64("length", F.substring(text, 1, PREFIX_CHARS))))
     prefixes = _survivors(prefixed.where("same_length").select("prefix"), "prefix")
 
-    rows = _with_hit(prefixed, prefixes, "prefix", "same_prefix").withColumn("compared", F.col("same_length") & F.col("same_prefix"))
+    rows = with_hit(prefixed, prefixes, "prefix", "same_prefix").withColumn("compared", F.col("same_length") & F.col("same_prefix"))
     rows = materialise(rows.select("id", "compared", F.when(F.col("compared") | F.lit(digest_all), F.sha2(text, 256)).alias("digest")))
     groups = materialise(rows.where("compared").groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("largest")).where("n > 1"))
     out = join_groups(rows, groups, "digest", "n", F.col("id").cast("string"))
