@@ -11,7 +11,8 @@ The test set is dealt into blocks of at most BLOCK_BYTES of text, which travel w
 set there is one pass over the texts per block, written in between, and spans and items add up.
 
 Edge cases: null and empty texts have no words and no hits; an item without words matches nothing; items that share
-a window all count; repeated ids are judged row by row; an item id repeated in the test set counts once.
+a window all count; repeated ids are judged row by row; an item id repeated in the test set counts once. Windows of items
+with a null id hit as any other; such items count as one item, which has no place in the list of ids.
 Without test items nothing is contaminated.
 """
 
@@ -27,21 +28,22 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WORD, materialise, released, sliced, words
+from tessera.llm._common import WORD, materialise, released, sliced, text_blocks, words
 from tessera.llm.fm_index import FMIndex
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
-STATE = "n_words long, spans binary, items string"
+#: Stands for all items without an id between passes.
+NAMELESS = "\x00"
 
 
 class Windows:
     """Distinct windows of a block of test items, as right-aligned rows of word numbers from 1."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, str]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
+        found: dict[tuple[int, ...], set[int | None]] = {}
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             for k in range(max(1, len(ids) - window + 1) if ids else 0):
@@ -50,7 +52,7 @@ class Windows:
         self.rows = np.zeros((len(found), window), np.int32)
         for k, w in enumerate(found):
             self.rows[k, window - len(w) :] = w
-        self.items = [sorted(s) for s in found.values()]
+        self.items = list(found.values())
         self.shortest = int(self.lengths.min(initial=window))
 
 
@@ -132,13 +134,14 @@ def _one_pass(rows: DataFrame, block: list[tuple[int, str]], text_col: str, last
             hits = shard_hits(found, windows)
             columns = {name: batch.column(name) for name in batch.schema.names}
             spans = [merge(_unpack(old) + new) for old, (new, _) in zip(columns["spans"].to_pylist(), hits)]
-            items = [set(filter(None, (old or "").split(","))) | {str(i) for i in new} for old, (_, new) in zip(columns["items"].to_pylist(), hits)]
+            items = [set(filter(None, (old or "").split(","))) | {NAMELESS if i is None else str(i) for i in new} for old, (_, new) in zip(columns["items"].to_pylist(), hits)]
             columns["n_words"] = pa.array([len(w) for w in found], pa.int64())
             columns["spans"] = pa.array([np.array(s, np.int32).tobytes() for s in spans], pa.binary())
             columns["items"] = pa.array([",".join(sorted(i)) for i in items], pa.string())
             if last:
                 columns["n_hit"] = pa.array([sum(b - a for a, b in s) for s in spans], pa.int64())
                 columns["n_items"] = pa.array([len(i) for i in items], pa.int64())
+                columns["items"] = pa.array([",".join(sorted(i - {NAMELESS})) for i in items], pa.string())
                 columns["items_sha256"] = pa.array([hashlib.sha256(i.encode()).hexdigest() for i in columns["items"].to_pylist()], pa.string())
                 if keep_text:
                     columns["clean_text"] = pa.array([None if t is None else cut(t, s) for t, s in zip(texts, spans)], pa.string())
@@ -152,18 +155,6 @@ def _one_pass(rows: DataFrame, block: list[tuple[int, str]], text_col: str, last
     return rows.mapInArrow(run, ", ".join(fields + ["n_hit long", "n_items long", "items_sha256 string"] * last + ["clean_text string"] * (last and keep_text)))
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """Test items in blocks of at most `limit` bytes of text (one item at least), one in the driver at a time."""
-    block, size = [], 0
-    for item, text in benchmark.select(item_col, text_col).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
-        if block and size + len(text) > limit:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += len(text)
-    yield block
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", clean: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each row's id, n_words, spans (pairs of int32 word places, ends excluded), items, n_hit, n_items, items_sha256.
 
@@ -174,7 +165,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     clash = {"n_words", "spans", "items", "n_hit", "n_items", "items_sha256", "clean_text"} & set(rows.columns)
     rows = rows.drop(*clash).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast("binary"), "items": F.lit(None).cast("string")})
     held = None
-    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
+    for block in text_blocks(benchmark.where(F.col(item_text_col).isNotNull()), item_col, item_text_col, block_bytes):
         if held is not None:
             rows = materialise(_one_pass(rows, held, text_col, False))
         held = block

@@ -153,6 +153,24 @@ def test_decontaminate(spark):
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got} == want
 
 
+def test_decontaminate_items_without_ids(spark):
+    bench = spark.createDataFrame([(None, "red fox"), (None, "blue hen"), (3, "red fox"), (10, "grey owl")], "item_id long, text string")
+    docs = frame(spark, ["a red fox and a blue hen", "a grey owl", "one blue hen", "none"])
+    names = ["3", "10", "", ""]
+    for block in (decontaminate.BLOCK_BYTES, 8):
+        got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, block_bytes=block).collect()}
+        assert [(got[k].n_hit, got[k].n_items) for k in range(4)] == [(4, 2), (2, 1), (2, 1), (0, 0)]
+        assert [got[k]["items"] for k in range(4)] == names
+        assert [got[k].items_sha256 for k in range(4)] == [hashlib.sha256(n.encode()).hexdigest() for n in names]
+
+
+def test_decontaminate_very_long_text(spark):
+    text = "filler words here " * 300_000 + "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    (row,) = decontaminate.decontaminate(frame(spark, [text]), bench).collect()
+    assert (row.n_words, row.n_hit, row.n_items) == (900_011, 10, 1)
+
+
 def test_sentencepiece_is_the_library(spark):
     import sentencepiece
 
