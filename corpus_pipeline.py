@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import materialise, table
 from tessera.llm.decontaminate import decontaminate
-from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.exact_dedup import bitmap_of, exact_dedup, with_hit
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.queries import tokenizer_file
 from tessera.llm.sentencepiece_codec import encode_documents
@@ -23,16 +23,29 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def numbered(docs: DataFrame, nulls_first: bool) -> DataFrame:
-    """docs with `row`, a key in the order of doc_id: the id itself, or a number of the row where ids repeat or are null."""
+    """docs with `row`, a key in the order of doc_id: the id itself, or a number of the row where ids repeat or are null.
+
+    Only ids and digests are sorted, with a mark of the row behind them, so that rows of one id are dealt evenly.
+    """
     if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        return docs.withColumn("row", F.col("doc_id"))
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    marked = materialise(docs.withColumn("mark", F.monotonically_increasing_id()))
     first = F.asc_nulls_first("doc_id") if nulls_first else F.asc_nulls_last("doc_id")
-    return materialise(docs.orderBy(first, *COLUMNS[1:]).withColumn("row", F.monotonically_increasing_id()))
+    order = marked.select("doc_id", F.xxhash64(*COLUMNS[1:]).alias("digest"), "mark").orderBy(first, "digest", "mark")
+    order = materialise(order.select(F.col("mark").alias("of"), F.monotonically_increasing_id().alias("row")))
+    return materialise(marked.join(order, F.col("mark") == F.col("of")).select(*COLUMNS, "row"))
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs without these (distinct) rows."""
-    return docs.join(rows.withColumnRenamed("row", "gone"), F.col("row") == F.col("gone"), "left_anti").select(*COLUMNS)
+    """docs without these (distinct) rows.
+
+    A bitmap of their hashes lets most rows that stay pass at once; only what it hits meets the rows themselves, so the
+    texts that stay are not shuffled.
+    """
+    gone = materialise(rows.select(F.col("row").alias("gone")), found=F.count("*"))
+    marked = with_hit(docs.select(*COLUMNS, "row"), bitmap_of(gone, "gone", gone.seen_on_the_way["found"]), "row", "hit")
+    met = marked.where("hit").join(gone, F.col("row") == F.col("gone"), "left_anti")
+    return marked.where("NOT hit").select(*COLUMNS).unionByName(met.select(*COLUMNS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
