@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.streaming.dedup import first_of_key
 from tessera.streaming.funnels import funnels
 from tessera.streaming.interval_join import interval_join
 from tessera.streaming.tables import ROCKSDB, drain, table_stream
@@ -51,7 +52,15 @@ def stream_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(funnels(_events(spark, sf_dir), "user_id", "ts", "event_type", STEPS, 3600, DELAY), settings=ROCKSDB)
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_sessions, stream_click_to_purchase, stream_funnels)}
+def stream_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are delivered twice, each taken once."""
+    events = _events(spark, sf_dir).select("event_id", "ts", "user_id", "value")
+    again = _events(spark, sf_dir).select("event_id", "ts", "user_id", "value")
+    out = first_of_key(events.unionByName(again), ("event_id",), "ts", DELAY)
+    return drain(out.select("event_id", "user_id", "value"))
+
+
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_sessions, stream_click_to_purchase, stream_funnels, stream_replayed)}
 
 #: The last watermark, in whole milliseconds as Spark keeps it.
 _SEEN = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTES FROM events)"
@@ -75,6 +84,7 @@ FROM ({_VISITS.format(gap=30)}) GROUP BY user_id, visit HAVING max(ts) + INTERVA
     "stream_click_to_purchase": """
 SELECT c.user_id, c.event_id AS click_id, p.event_id AS purchase_id, p.value FROM events c JOIN events p
 ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 2 HOURS""",
+    "stream_replayed": "SELECT event_id, user_id, value FROM events",
     "stream_funnels": f"""
 WITH v AS ({_VISITS.format(gap=60)}), one AS (
   SELECT user_id, visit, min(ts) AS visit_start, max(ts) AS visit_end, count(*) AS n_events, min(ts) FILTER (WHERE event_type = 'view') AS t1 FROM v GROUP BY user_id, visit

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.streaming.dedup import first_of_key
 from tessera.streaming.funnels import funnels
 from tessera.streaming.interval_join import interval_join
 from tessera.streaming.tables import ROCKSDB, drain, shared_folder, table_stream
@@ -142,6 +143,21 @@ def test_interval_join_evicts_and_keeps_the_unmatched(spark, tmp_path):
     assert max(s.numRowsTotal for p in out.progress for s in p.stateOperators) < 20 < len(rows)
 
 
+def test_repeats_and_late_rows(spark, tmp_path):
+    table = Folder(spark, tmp_path / "t")
+    table.add([(1, 1, 0, "a"), (1, 1, 0, "a"), (2, 1, 10, "a"), (None, 1, 10, "a"), (None, 1, 12, "a")])
+    table.add([(1, 1, 25, "a"), (2, 1, 10, "a"), (3, 1, 40, "a")])  # repeats over batches, one of them later than its first
+    table.add([(4, 1, 300, "a")])  # the watermark goes to 4:00
+    table.add([(5, 1, 301, "a")])
+    table.add([(3, 1, 302, "a"), (6, 1, 20, "a")])  # 3 is long forgotten and comes anew, 6 is late
+    out = drain(first_of_key(table.stream(), ("id",), "at", "60 minutes"), str(tmp_path / "run"))
+    assert sorted((r.id or 0) for r in out.collect()) == [0, 1, 2, 3, 3, 4, 5]
+    assert sum(s.numRowsDroppedByWatermark for p in out.progress for s in p.stateOperators) == 1
+    assert min(s.numRowsTotal for s in out.progress[-1].stateOperators) < 4
+    rows = spark.createDataFrame([(1, minute(0)), (1, minute(9))], "id long, at timestamp_ntz")
+    assert first_of_key(rows, ("id",), "at", "1 hour").count() == 1
+
+
 def test_complete_mode_keeps_the_last_result(spark, tmp_path):
     table = Folder(spark, tmp_path / "t")
     for k in range(3):
