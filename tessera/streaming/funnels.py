@@ -3,7 +3,8 @@
 A visit is a key's rows without a pause of over `gap`. How far it came is the number of steps that it reached in their order,
 which no window aggregate can tell. Rows wait in the key's state until the watermark has passed them, so that they are
 taken in the order of their times however they arrived; a visit comes when the watermark has passed its last row by the gap.
-State is a row for each that waits and one for the open visit; it lives in RocksDB, with the stream's checkpoints.
+State is a row for each that waits and one for the open visit; it lives in RocksDB, with the stream's checkpoints. A task
+holds what waits of one key: what the key gets within a batch and the delay, so batches bound it (files_per_batch).
 """
 
 from __future__ import annotations
