@@ -156,7 +156,8 @@ SELECT conv_id, '0' AS piece,
   coalesce(string_agg(segment, '' ORDER BY turn) FILTER (WHERE part = 'chosen'), '') AS chosen,
   coalesce(string_agg(segment, '' ORDER BY turn) FILTER (WHERE part = 'rejected'), '') AS rejected,
   coalesce(string_agg(range, ',' ORDER BY turn) FILTER (WHERE part = 'chosen' AND trained), '') AS chosen_mask,
-  coalesce(string_agg(range, ',' ORDER BY turn) FILTER (WHERE part = 'rejected' AND trained), '') AS rejected_mask
+  coalesce(string_agg(range, ',' ORDER BY turn) FILTER (WHERE part = 'rejected' AND trained), '') AS rejected_mask,
+  CAST(0 AS BIGINT) AS prompt_at, CAST(0 AS BIGINT) AS chosen_at, CAST(0 AS BIGINT) AS rejected_at
 FROM masked GROUP BY conv_id""",
     # Item and document windows as joined words; a stretch of item words is found in a text by its words alone.
     "op6_decontaminate": f"""
