@@ -20,6 +20,14 @@ from tessera.llm.sentencepiece_codec import encode_documents
 from tessera.llm.toxicity import score_documents, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of a batch of rows between Spark and Python; Spark's own value is 64 MB, which each of several workers and its JVM hold more than once.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in small batches, unless the session has a size of its own."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
 def numbered(docs: DataFrame, nulls_first: bool) -> DataFrame:
@@ -50,6 +58,7 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier predicts toxic go."""
+    small_batches(spark)
     weights = train(docs, table(spark, sf_dir, "labels"))
     return score_documents(docs, weights, carry=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
@@ -62,12 +71,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each linked group the smallest doc_id stays."""
+    small_batches(spark)
     docs = numbered(docs, nulls_first=False)
     return without(docs, ngram_join(docs, id_col="row").where("row <> class_id").select("row").distinct())
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of test items are cut out of the texts; a document of nothing else goes."""
+    small_batches(spark)
     out = decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), clean=True)
     left = F.length(F.trim("clean_text")) > 0
     out = out.where((F.col("n_hit") == 0) | left)
@@ -76,6 +87,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests that show the round trip."""
+    small_batches(spark)
     out = encode_documents(docs, tokenizer_file("piece_bpe_32k.model"))
     return out.select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
