@@ -14,8 +14,8 @@ connects it, never the pairs.
   threshold are surely linked: a histogram of bins counts those links, and one edge to the innermost member
   connects them, so a large group of near copies costs one look at each member. Only blocks of rings whose
   distances leave it open meet in cells, and there only the open pairs are judged.
-* Where members spread over more than WIDE_BLOCKS blocks, as chains of rows do that are each like the next one, the cells are
-  the buckets of the bands instead, and an open pair is judged in the first that it shares: a member is copied once for
+* Where members spread over more than WIDE_BLOCKS blocks and share few bands (their buckets hold FEWER times fewer pairs), as
+  chains of rows do that are each like the next one, the cells are the buckets of the bands instead, and an open pair is judged in the first that it shares: a member is copied once for
   each band at most, and work follows the candidates. There the recall is that of the bands; elsewhere all pairs of a component count.
 
 Edge cases: a text of fewer than n words, but not none, is one n-gram of all its words; texts without words
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,10 @@ BLOCK_GRAMS = 100_000
 LOOK_GRAMS = 10_000
 #: Bins of distance up to the threshold, and bins in a ring.
 BINS, RING = 200, 20
-#: Blocks of a part from which its open pairs meet in the buckets of their bands.
+#: Blocks of a part from which its open pairs may meet in the buckets of their bands.
 WIDE_BLOCKS = 16
+#: So many times fewer pairs the buckets must hold than the part.
+FEWER = 4
 CACHE_WORDS = 300_000
 #: n-grams per MinHash step.
 STEP = 1 << 17
@@ -351,25 +354,46 @@ def _judge_large(large: DataFrame, banded: DataFrame, n: int, similarity: float)
     own_blocks = F.get(F.filter("rings", lambda r: r["ring"] == own_ring), F.lit(0))["blocks"]
     own = F.struct(own_ring.alias("ring"), F.pmod(F.xxhash64("node"), own_blocks).cast("int").alias("block"))
     wide = F.aggregate("rings", F.lit(0), lambda done, r: done + r["blocks"]) > WIDE_BLOCKS
-    placed = known.where(~wide).select("node", "part", "copies", "bin", own.alias("own"), F.explode(met).alias("met"))
+    spread = known.where(wide & (F.size(met) > 0)).select("node", "part", "n", "copies", "grams", "bin")
+    sparse = None if spread.isEmpty() else _buckets(spread, banded)
+    if sparse is not None:
+        known = join_groups(known, sparse.parts, "part", "members", F.col("node")).where("members IS NULL").drop("members")
+    placed = known.select("node", "part", "copies", "bin", own.alias("own"), F.explode(met).alias("met"))
     name = F.concat_ws("/", "part", *(f(F.col("own"), F.col("met"))[k].cast("string") for f in (F.least, F.greatest) for k in ("ring", "block")))
     side = F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1)
     placed = placed.select("node", "copies", "bin", name.alias("cell"), side.alias("side"))
     cells = placed.join(large.select(F.col("node").alias("at"), "text"), F.col("node") == F.col("at")).select("node", "copies", "text", "cell", "side", "bin", *map(F.expr, NO_BAND))
-    spread = known.where(wide & (F.size(met) > 0)).select("node", "copies", "grams", "bin")
-    if not spread.isEmpty():
-        placed = _by_band(spread, banded)
+    if sparse is not None:
         texts = large.select(F.col("node").alias("at"), "text").join(banded.select(F.col("node").alias("of"), "bands"), F.col("at") == F.col("of")).select("at", "text", "bands")
-        cells = cells.unionByName(placed.join(texts, F.col("node") == F.col("at")).select("node", "copies", "text", "cell", "side", "bin", "bands", "band"))
+        cells = cells.unionByName(_by_band(spread, banded, sparse).join(texts, F.col("node") == F.col("at")).select("node", "copies", "text", "cell", "side", "bin", "bands", "band"))
     return _judge(_with_grams(cells, n), similarity).unionByName(sure.select("node", F.when(F.col("links") > 0, F.col("links")).alias("links"), F.lit(None).cast("string").alias("other"))).unionByName(sure.where("other IS NOT NULL").select("node", F.lit(None).cast("long").alias("links"), "other"))
 
 
-def _by_band(spread: DataFrame, banded: DataFrame) -> DataFrame:
-    """(node, copies, bin, cell, side, band) of members in the buckets of their bands; spread: node, copies, grams, bin."""
-    each = spread.join(banded.select(F.col("node").alias("at"), "bands"), F.col("node") == F.col("at")).select("node", "copies", "grams", "bin", F.posexplode("bands").alias("band", "hash"))
-    each = each.withColumn("bucket", F.concat_ws("/", "band", "hash"))
-    sizes = materialise(each.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("grams").alias("weight")).where("n > 1"))
-    held = join_groups(each, sizes, "bucket", "n", F.col("node")).where("n IS NOT NULL")
+class Buckets(NamedTuple):
+    """sizes: (bucket, members, weight) of the bands of wide parts; parts: (part, members) of those that they serve."""
+
+    sizes: DataFrame
+    parts: DataFrame
+
+
+def _each_band(spread: DataFrame, banded: DataFrame) -> DataFrame:
+    each = spread.join(banded.select(F.col("node").alias("at"), "bands"), F.col("node") == F.col("at")).select("node", "part", "n", "copies", "grams", "bin", F.posexplode("bands").alias("band", "hash"))
+    return each.withColumn("bucket", F.concat_ws("/", "band", "hash"))
+
+
+def _buckets(spread: DataFrame, banded: DataFrame) -> Buckets | None:
+    """A wide part is served by its bands if their buckets hold far fewer pairs than the part: not in a group of near copies, which all share their bands."""
+    sizes = _each_band(spread, banded).groupBy("bucket").agg(F.first("part").alias("of"), F.first("n").alias("all"), F.count("*").alias("members"), F.sum("grams").alias("weight"))
+    sizes = materialise(sizes.where("members > 1"))
+    pairs = sizes.groupBy(F.col("of").alias("part")).agg(F.first("all").alias("members"), F.sum(F.col("members").cast("double") * F.col("members")).alias("pairs"))
+    parts = materialise(pairs.where(FEWER * F.col("pairs") < F.col("members").cast("double") * F.col("members")).select("part", "members"))
+    return None if parts.isEmpty() else Buckets(sizes.select("bucket", "members", "weight"), parts)
+
+
+def _by_band(spread: DataFrame, banded: DataFrame, sparse: Buckets) -> DataFrame:
+    """(node, copies, bin, cell, side, band) of members in the buckets of their bands; spread: node, part, n, copies, grams, bin."""
+    served = join_groups(spread, sparse.parts, "part", "members", F.col("node")).where("members IS NOT NULL").drop("members")
+    held = join_groups(_each_band(served, banded), sparse.sizes, "bucket", "members", F.col("node")).where("members IS NOT NULL")
     blocks = F.ceil(F.col("weight") / BLOCK_GRAMS).cast("int")
     held = held.select("node", "copies", "bin", "band", "bucket", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("met"))
     side = F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1)

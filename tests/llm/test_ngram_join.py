@@ -14,11 +14,12 @@ def chain(n, step, width=100):
     return [" ".join(w[k * step : k * step + width]) for k in range(n)]
 
 
-@pytest.mark.parametrize("block, wide", [(150, 0), (400, 1), (2000, 0)])
-def test_members_meet_in_the_buckets_of_their_bands(spark, monkeypatch, block, wide):
+@pytest.mark.parametrize("block, wide, fewer", [(150, 0, 0), (400, 1, 0), (2000, 0, 0.01), (300, 0, 4)])
+def test_members_meet_in_the_buckets_of_their_bands(spark, monkeypatch, block, wide, fewer):
     """Groups whose members are near their pivot, far from it, linked in chains, and chains of unlinked rows."""
     monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", block)
     monkeypatch.setattr(ngram_join, "WIDE_BLOCKS", wide)
+    monkeypatch.setattr(ngram_join, "FEWER", fewer)
     long = " ".join(f"x{k}" for k in range(90))
     texts = corpus(5, 50) + [long.replace(f"x{k} ", f"y{k} ") for k in range(1, 25)] + [long] * 3
     texts += chain(40, 15) + chain(30, 6) + chain(10, 3)
