@@ -4,15 +4,15 @@ A node is a distinct sequence of first turns. Peeling starts at the largest dept
 the nodes that survive from below, all nodes of the depth are complete, their last turn is stripped and they are grouped
 anew by what is left; counts, leaves and savings go up with them, so that nodes are found and aggregated in one pass.
 
-Texts are read once: a turn becomes a digest of role and text and a count of code points, and a conversation the chained
-digests of its prefixes. Equal conversations become one before anything is grouped, with their ids digested in order:
+Texts are shuffled once, to put turns in order: a turn becomes a digest of role and text and a count of code points, and a
+conversation the chained digests of its prefixes. Equal conversations become one before anything is grouped, with their ids digested in order:
 ids are dealt by range, so that a group of a third of all rows is rendered in parts, and a part is one row of the last step.
 A prefix over which more than SUBTREE_TURNS turns of two or more conversations stand is crowded. Subtrees below crowded
 prefixes are small: each is peeled in one task. What they give to the crowded nodes are sums, counts and least ids, which
 Spark aggregates before it shuffles. The crowded nodes, a few for each SUBTREE_TURNS turns, are peeled depth by depth in
 Spark until at most TOP_ROWS of them remain, and those in one task.
 
-Edge cases: null roles and texts are empty; turns of one number are ordered by their digests, null numbers come first;
+Edge cases: null roles and texts are empty; turns of one number are ordered by role and text, nulls last; null numbers come first;
 turns that repeat are turns of their own; turns without a conversation id belong to no conversation; a conversation
 without turns ends at the root; an empty table has no root. Other columns are not read. A conversation's chain of digests,
 32 characters a turn, is held by the task that has it.
@@ -41,11 +41,11 @@ TOP = "node string, " + NODE
 
 def turn_keys(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, pos, key, points) of each turn, positions from 0."""
-    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role_col, text_col))
+    named = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).alias("turn"), *(F.col(c).cast("string").alias(n) for c, n in ((role_col, "role"), (text_col, "text"))))
+    order = Window.partitionBy("conv").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_last("role"), F.asc_nulls_last("text"))
+    role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     key = F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text))
-    keyed = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).alias("turn"), key.alias("key"), F.length(text).alias("points"))
-    order = Window.partitionBy("conv").orderBy(F.asc_nulls_first("turn"), "key")
-    return keyed.select("conv", (F.row_number().over(order) - 1).alias("pos"), "key", "points")
+    return named.withColumn("pos", F.row_number().over(order) - 1).select("conv", "pos", key.alias("key"), F.length(text).alias("points"))
 
 
 def with_shared_heads(turns: DataFrame, block: int = 100, heads: int = 6) -> DataFrame:

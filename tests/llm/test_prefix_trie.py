@@ -98,3 +98,15 @@ def test_very_long_text(spark):
     rows = [(c, d, "user", "é" * 2_000_000 if d == 0 else "t") for c in (0, 300) for d in range(2)]
     got = told(T.prefix_trie(T.turn_keys(frame(spark, rows)).where("pos IS NOT NULL")))
     assert got == brute({c: [("user", "é" * 2_000_000), ("user", "t")] for c in (0, 300)})
+
+
+def test_turns_of_one_number_are_ordered_by_role_and_text(spark):
+    words = ["b", "a", "", None, "é", "B", "a" * 40 + "2", "a" * 40 + "1"]
+    rows = [(c, turn, role, text) for c in (100, 101, 250) for turn in (None, 0, 1) for role in ("user", "assistant", None) for text in words[c % 3 :]]
+    random.Random(1).shuffle(rows)
+    last = lambda x: (x is None, x or "")
+    own = {}
+    for c, turn, role, text in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, last(r[2]), last(r[3]))):
+        own.setdefault(c, []).append((role or "", text or ""))
+    want = {c: own.get(c - c % 100, [])[: zlib.crc32(str(c).encode()) % 6] + turns[zlib.crc32(str(c).encode()) % 6 :] for c, turns in own.items()}
+    assert told(T.prefix_trie(T.with_shared_heads(T.turn_keys(frame(spark, rows))))) == brute(want)
