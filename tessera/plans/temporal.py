@@ -1,4 +1,4 @@
-"""Queries of the as-of and range joins, with their SQL."""
+"""Queries of the as-of and range joins and of span summaries, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.asof_join import asof_join
 from tessera.operators.range_join import range_join
+from tessera.operators.span_summary import span_summary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +63,10 @@ def range_price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def range_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each error, the events from ten minutes before it until ten minutes after it, that end excluded."""
-    errors = _events(spark, sf_dir, "error").select("event_id", (F.col("ts") - F.expr("INTERVAL 10 MINUTES")).alias("since"), (F.col("ts") + F.expr("INTERVAL 10 MINUTES")).alias("until"))
+    errors = _events(spark, sf_dir, "error").select("event_id", (F.col("ts") - F.expr("INTERVAL 10 MINUTES")).alias("since"))
     events = _table(spark, sf_dir, "events").select(F.col("event_id").alias("other_id"), "user_id", "ts")
-    out = range_join(errors, events, ("since", "until"), ("ts", "ts"), closed="left")
-    return out.groupBy("event_id").agg(F.count("*").alias("n_events"), F.count_distinct("user_id").alias("n_users"), F.min("other_id").alias("first_id"), F.max("other_id").alias("last_id"))
+    out = span_summary(errors, events, "event_id", "since", 20 * 60 * 1_000_000, "ts", "user_id", "other_id")
+    return out.select("event_id", F.col("n").alias("n_events"), F.col("owners").alias("n_users"), F.col("least").alias("first_id"), F.col("largest").alias("last_id"))
 
 
 QUERIES = {f.__name__: f for f in (asof_last_click, asof_next_error, asof_nearest_view, asof_prior_order, range_open_orders, range_price_bands, range_incidents)}
